@@ -2,9 +2,9 @@
 
 Each distinct file is described by numbers that don't depend on its words: how well it compresses, the entropy of its
 tokens, the lengths of its identifiers, the share of comments, and how much of it is literal data or lines of one
-pattern. A random forest learns from them which files weren't written by hand. Its labels come from notices in the
-header comment (``Code generated by ...``) and in the file name (``.min.``, ``.pb.``); the header and the name are
-hidden from the features, so that the forest also finds the files that lost their notice. Copies of other projects look
+pattern. A random forest learns from them which files weren't written by hand. Its labels come from notices comment
+lines (``Code generated by ...``; mostly in the header) and in the file name (``.min.``, ``.pb.``); header, notices and
+name are hidden from the features, so that the forest also finds the files that lost their notice. Copies of other projects look
 like any hand-written code; they are told by a notice of their origin, by a third-party folder, or by recurring in
 several repositories.
 """
@@ -66,8 +66,10 @@ THIRD_PARTY = re.compile(
 TOOL_NAME = re.compile(r"(?i)(?:[.-]min|[.-]pack|[.-]bundle|\.pb|_pb|_pb2|\.gen|_gen|\.generated|_generated|\.g|\.designer)\.[a-z]+$|(?:^|/)zz_generated\.[^/]+$")
 _COMMENT_START = ("//", "#", "/*", "*", "--", ";", "<!--", '"""', "'''", "=begin", "(*")
 
+#: Marks of the line that code was made from; they are no comments.
+_LINE_MARK = re.compile(r"^(?:#|//|--|;)\s?line\s+(?:\S+:)?\d+\s*$")
 _TOKEN = re.compile(r"[A-Za-z_$]\w*|\d+|[^\w\s]")
-_IDENTIFIER = re.compile(r"[A-Za-z_]\w*")
+_COMMENT_LINE = re.compile(r"(?://|#(?!\[)|/?\*|--|;|%|<!--)")
 _MASK = re.compile(r"[A-Za-z_$]\w*|\d+(?:\.\d+)?|[\"'][^\"']*[\"']")
 _DATA_ROW = re.compile(
     r"^\s*[\[({]?\s*(?:(?:0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?(?:e-?\d+)?|[\"'][^\"']*[\"']|null|nil|true|false)\s*(?:,|=>|:)\s*)+(?:0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?|[\"'][^\"']*[\"']|null|nil|true|false)?\s*[\])}]?,?\s*$"
@@ -98,12 +100,18 @@ def describe(text: str) -> tuple[list[float], int]:
     """Features of a file and its notices: 1 generated, 2 taken from elsewhere, 0 none."""
     lines = text.split("\n")
     end = header_end(lines)
-    head = "\n".join(lines[:end])
     notice = 0
-    if head.strip():
-        told = "\n".join(s for s in lines[:end] if not DENIAL.search(s))
-        notice = 1 if GENERATED_NOTICE.search(told) else 2 if ORIGIN_NOTICE.search(told) else 0
-    body = "\n".join(lines[end:]) if end < len(lines) else ""
+    told: list[int] = []  # notices stand in the header, between definitions, or at the end
+    for i, line in enumerate(lines):
+        s = line.strip()
+        if (i < end or _COMMENT_LINE.match(s)) and not DENIAL.search(s):
+            kind = 1 if GENERATED_NOTICE.search(s) else 2 if ORIGIN_NOTICE.search(s) else 0
+            if kind:
+                told.append(i)
+                notice = min(notice or kind, kind)
+    hidden = set(told)
+    kept = [line for i, line in enumerate(lines[end:], start=end) if i not in hidden]
+    body = "\n".join(kept)
     if not body.strip():
         return [1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 1.0 if text.strip() else 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0], notice
     raw = body.encode("utf-8", "surrogatepass")
@@ -116,12 +124,14 @@ def describe(text: str) -> tuple[list[float], int]:
     names = {k: v for k, v in tokens.items() if k[0].isalpha() or k[0] in "_$"}
     uses = sum(names.values()) or 1
     masked = {_DIGITS.sub("0", k) for k in names}
-    own = [s for s in lines[end:] if s.strip()]
+    own = [s for s in kept if s.strip()]
     lengths = [len(s) for s in own]
     comment = literal = 0
     patterns: Counter = Counter()
     for s in own:
         stripped = s.strip()
+        if _LINE_MARK.match(stripped):
+            continue
         if stripped.startswith(_COMMENT_START) and not stripped.startswith("#["):
             comment += len(s)
             continue
@@ -201,44 +211,53 @@ def file_features(df: DataFrame, path: str, content: str, repo: str | None = Non
 
 #: Share of a file's characters within rows of data from which it is mainly data.
 MAINLY_DATA = 0.75
-#: Bound of the labelled sample that the forest is fitted on, of either class.
-SAMPLE = 10_000
-#: Weight of a labelled file against one without a notice; many of the latter only lost theirs.
-LABEL_WEIGHT = 3.0
-#: Files without a notice count as written by hand in the second fit if the first one gives them less than this.
-RELIABLE = 0.1
+#: Minified by the numbers: hardly any white space between names of one or two characters.
+MINIFIED = {"space_share": 0.1, "identifier_short": 0.8}
+#: Bound of the sample that the forest is fitted on; both classes are sampled at one rate, so their shares stay.
+SAMPLE = 20_000
+#: Weight of a file with a notice; of those without one many only lost theirs.
+LABEL_WEIGHT = 2.0
+#: In the second fit a file keeps its label if the first fit gives it at least this (with a notice) or less (without).
+RELIABLE = 0.2
+
+
+def _feature(name: str):
+    return F.col("features")[FEATURES.index(name)]
+
+
+def _minified():
+    return (_feature("space_share") <= MINIFIED["space_share"]) & (_feature("identifier_short") >= MINIFIED["identifier_short"]) & (_feature("token_entropy") > 0)
 
 
-def fit_forest(files: DataFrame, sample: int = SAMPLE, trees: int = 40, depth: int = 8, seed: int = 7):
+def fit_forest(files: DataFrame, sample: int = SAMPLE, trees: int = 60, depth: int = 8, seed: int = 7):
     """A random forest over the labelled files of ``file_features``; None where one of the classes has no file.
 
-    A file without a notice may well be generated, so the forest is fitted twice: the first one finds the reliable
-    negatives that the second one is fitted on. Files of other projects are left out, as their text looks hand-written; of
-    files with the same body one is taken. Both classes are bounded by ``sample`` files, chosen by hash; everything but
-    the fit covers all files.
+    A file without a notice may well be generated, and one with a notice may look like any other, so the forest is fitted
+    twice: the second fit is on the files whose looks agree with their label in the first one. Files of other projects, and those that are mainly data by their share of it, are left out, as their text tells nothing; of
+    files with the same body one is taken. The fit is on at most about ``sample`` files, chosen by hash; everything but the
+    fit covers all files.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     known = (
-        files.where("notice <> 2 AND NOT third_party")
-        .select("body_hash", "features", ((F.col("notice") == 1) | F.col("name_notice") | (F.col("features")[FEATURES.index("literal_share")] >= MAINLY_DATA)).cast("double").alias("label"))
+        files.where((F.col("notice") != 2) & ~F.col("third_party") & (_feature("literal_share") < MAINLY_DATA))
+        .select("body_hash", "features", ((F.col("notice") == 1) | F.col("name_notice") | _minified()).cast("double").alias("label"))
         .groupBy("body_hash")
         .agg(F.max("label").alias("label"), F.first("features").alias("features"))
     )
     size = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
         return None
-    chosen = F.lit(False)
-    for label, n in size.items():
-        per_million = min(1_000_000, sample * 1_000_000 // n)
-        chosen = chosen | ((F.col("label") == label) & (F.pmod(F.xxhash64("body_hash"), F.lit(1_000_000)) < per_million))
-    train = known.where(chosen).select(array_to_vector("features").alias("x"), "label", F.when(F.col("label") == 1, LABEL_WEIGHT).otherwise(1.0).alias("w"))
-    train = train.coalesce(2).cache()  # bounded by twice the sample
-    forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="w", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed)
-    reliable = forest.fit(train).transform(train).where((F.col("label") == 1) | (vector_to_array("probability")[1] < RELIABLE)).select("x", "label", "w")
-    model = forest.fit(reliable)
+    per_million = min(1_000_000, sample * 1_000_000 // sum(size.values()))
+    chosen = F.pmod(F.xxhash64("body_hash"), F.lit(1_000_000)) < per_million
+    train = known.where(chosen).select(array_to_vector("features").alias("x"), "label", F.when(F.col("label") == 1, LABEL_WEIGHT).otherwise(1.0).alias("w")).coalesce(2).cache()  # bounded by the sample
+    forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="w", numTrees=trees, maxDepth=depth, minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=seed)
+    agrees = (F.col("label") == 1) == (vector_to_array("probability")[1] >= RELIABLE)
+    reliable = forest.fit(train).transform(train).where(agrees).select("x", "label", "w").cache()
+    model = forest.fit(reliable) if reliable.select("label").distinct().count() == 2 else None
     train.unpersist()
+    reliable.unpersist()
     return model
 
 
@@ -246,7 +265,7 @@ def not_handwritten(df: DataFrame, path: str, content: str, sample: int = SAMPLE
     """Distinct files that weren't written by hand for their repository: ``path, reason, probability``.
 
     ``reason`` is ``generated`` (a notice), ``vendored`` (a notice of origin, a third-party folder, or the same content in
-    several repositories), ``data``, or ``forest`` where only the forest says so. Null contents give nothing, an empty
+    several repositories), ``data``, ``minified``, or ``forest`` where only the forest says so. Null contents give nothing, an empty
     file no case; rows that repeat a file count once; other columns are ignored; an empty table gives an empty one.
 
     One pass over the text writes a row of numbers for each file; all else runs on these. Repeated contents are found by a
@@ -260,12 +279,13 @@ def not_handwritten(df: DataFrame, path: str, content: str, sample: int = SAMPLE
         scored = files.withColumn("probability", F.lit(0.0))
     else:
         scored = model.transform(files.withColumn("x", array_to_vector("features"))).withColumn("probability", vector_to_array("probability")[1])
-    entropy, literal = (F.col("features")[FEATURES.index(n)] for n in ("token_entropy", "literal_share"))
+    entropy = _feature("token_entropy")
     recurring = files.where(entropy > 0).groupBy("body_hash").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a <> b").select("body_hash", F.lit(True).alias("recurs"))
     reason = (
         F.when(F.col("notice") == 1, "generated")
         .when((F.col("notice") == 2) | F.col("third_party") | F.col("recurs"), "vendored")
-        .when(literal >= MAINLY_DATA, "data")
+        .when(_feature("literal_share") >= MAINLY_DATA, "data")
+        .when(_minified(), "minified")
         .when((F.col("probability") >= threshold) & (entropy > 0), "forest")
     )
     return scored.join(recurring, "body_hash", "left").select(path, reason.alias("reason"), F.round("probability", 6).alias("probability")).where("reason IS NOT NULL")

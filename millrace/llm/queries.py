@@ -11,7 +11,7 @@ from ..session import table
 from . import canonical, chunking, credentials, generated_files, mixing, packing, pair_defects
 
 #: Probability from which the forest's word is taken.
-FOREST_THRESHOLD = 0.35
+FOREST_THRESHOLD = 0.5
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
