@@ -101,7 +101,7 @@ _OPEN_END = re.compile(r"""^\s*(?:[.+*,&\\|]|\.\.|<<)\s*\\?\s*$""")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _PLACEHOLDER = re.compile(
     r"(?i)^[<\[{(%$*#.].*[>\]})%]$|\$\{|\{\{|\$\(|#\{|<[^>]*>|%[sdv@]|^\$[A-Za-z_]\w*$|^%[A-Za-z_]\w*%$|^[*x.#_•-]+$|^(.)\1{5,}$"
-    r"|(?:^|[\W_])(?:your|my|some|insert|enter|replace|change|todo|tbd|fixme|example|sample|dummy|placeholder|redacted|removed|unset|none|null|nil|undefined|secret-?here)(?:$|[\W_])"
+    r"|(?:^|[-_. ])(?:your|my|some)[-_. ]|(?:^|[-_. ])(?:insert|enter|replace|change|todo|tbd|fixme|example|sample|dummy|placeholder|redacted|removed|unset|none|null|nil|undefined)(?:$|[-_. ])"
     r"|changeme|replace_?me|xxxx|\.\.\.|^(?:true|false|null|none|nil|unset|default|disabled|enabled|password|secret|token|apikey|api_key)$|EXAMPLE$"
 )
 _CALL = re.compile(r"^[A-Za-z_$][\w$.>:-]*\(.*\)$|^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$")
