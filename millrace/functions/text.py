@@ -181,8 +181,10 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part)))) / len(part)).cast("int")
 
 
-#: Operators of a condition; one within another counts for both.
-CONDITION_OPERATORS = ("&&", "||", "==", "!=", "<=", ">=", "<", ">", "!")
+#: Weights of the operators of a condition; one within another counts for both.
+CONDITION_OPERATORS = {"+": 1, "-": 1, "*": 1, "/": 1, "%": 1, "<": 1, ">": 1, "==": 1, "!=": 1, "<=": 1, ">=": 1, "&&": 2, "||": 2}
+#: Words of a condition that are no identifiers.
+CONSTANTS = ("true", "false", "null", "nil", "None")
 
 
 def paren_depth(text: Column) -> Column:
@@ -192,17 +194,16 @@ def paren_depth(text: Column) -> Column:
     return F.aggregate(steps, start, lambda a, s: F.struct((a["now"] + s).alias("now"), F.greatest(a["most"], a["now"] + s).alias("most")))["most"]
 
 
-def condition_complexity(condition: str | Column, operators: tuple[str, ...] = CONDITION_OPERATORS) -> Column:
-    """Operators of a condition, each occurrence of each, and twice the depth of its brackets (TXT-19)."""
+def condition_complexity(condition: str | Column) -> Column:
+    """Weights of a condition's operators, for each occurrence, and twice the depth of its brackets (TXT-19)."""
     c = col(condition)
-    return reduce(lambda a, b: a + b, [occurrences(c, op) for op in operators]) + 2 * paren_depth(c)
+    return reduce(lambda a, b: a + b, [occurrences(c, op) * weight for op, weight in CONDITION_OPERATORS.items()]) + 2 * paren_depth(c)
 
 
 def condition_identifiers(condition: str | Column) -> Column:
-    """Distinct identifiers of a condition in order, without strings, numbers and keywords (TXT-19)."""
-    bare = F.regexp_replace(col(condition), r"\"[^\"]*\"|'[^']*'", " ")
-    names = F.regexp_extract_all(bare, F.lit(r"([A-Za-z_]\w*)"), F.lit(1))
-    return F.array_distinct(F.filter(names, lambda n: ~n.isin("and", "or", "not", "true", "false", "nil", "null", "None", "in", "is")))
+    """Distinct words of a condition between operators, in order, without numbers and constants (TXT-19)."""
+    parts = words(F.regexp_replace(col(condition), r"[()!&|<>=+\-*/%]", " "))
+    return F.array_distinct(F.filter(parts, lambda n: ~n.rlike(r"^\d+$") & ~n.isin(*CONSTANTS)))
 
 
 def normalised_condition(condition: str | Column, rounds: int = 4) -> Column:
@@ -225,7 +226,7 @@ def signature(code: str | Column, language: str | Column) -> Column:
     first = F.split(body, "\n", -1)[0]
     opened = F.regexp_extract(body, r"(?s)^((?:[^()\n]*)\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)[^\n]*)", 1)
     full = F.when(F.contains(first, F.lit("(")) & (opened != ""), opened).otherwise(first)
-    short = F.regexp_replace(full, r"^([^=(]*\([^=]*\))\s*=(?!=).*$", "$1")
+    short = F.regexp_replace(full, r"^([^(]*\((?:[^()]|\([^()]*\))*\)(?:\s*::\s*[\w{}.,]+)?)\s*=(?!=).*$", "$1")
     full = F.when((language == "julia") & ~full.rlike(r"^\s*(?:function|macro)\b"), short).otherwise(full)
     return F.trim(F.when(language.isin("go", "rust"), F.regexp_replace(full, r"\s*\{\s*$", "")).otherwise(full))
 

@@ -81,8 +81,9 @@ def bootstrap(rates: DataFrame, groups: list[str], total: str, passed: str, iter
 
 
 def pearson(df: DataFrame, x: str, y: str) -> Column:
-    """Correlation of two columns; null where one doesn't vary (AGG-11)."""
-    return F.when((F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x))) > 0) & (F.stddev_pop(F.when(F.col(x).isNotNull(), F.col(y))) > 0), F.corr(x, y))
+    """Correlation of two columns over the rows that have both; null where one doesn't vary (AGG-11)."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)).cast("double"), F.when(F.col(x).isNotNull(), F.col(y)).cast("double")
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
 
 
 def pearson_matrix(df: DataFrame, metrics: list[str]) -> DataFrame:

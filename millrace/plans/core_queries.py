@@ -459,7 +459,7 @@ def token_skip_list(spark: SparkSession, sf: str) -> DataFrame:
     return crawling.without_listed_tokens(words, common, keywords).select("record_id", "language", "word")
 
 
-_OPS = " + ".join(f"(length(c) - length(replace(c, '{op}', ''))) // {len(op)}" for op in text.CONDITION_OPERATORS)
+_OPS = " + ".join(f"(length(c) - length(replace(c, '{op}', ''))) // {len(op)} * {weight}" for op, weight in text.CONDITION_OPERATORS.items())
 
 
 @query(rf"""WITH t AS (SELECT record_id, unnest(regexp_extract_all(focal_code, 'if ([^{{}}\n]+)', 1)) AS c FROM function_metadata), d AS (SELECT record_id, c, coalesce(list_max(list_transform(generate_series(1, length(c)),
