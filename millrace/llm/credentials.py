@@ -58,7 +58,7 @@ SHAPES = (
     r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 )
 #: Beginnings of such strings, as they stand before a cut.
-PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "eyJ")
+PREFIXES = r"(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abeprs]-|[sr]k_(?:live|test)_|[a-z]{2,6}_(?:pat|key|tok|sec)_|AIza|npm_|hf_|eyJ)"
 
 #: Screens lines inside Arrow; a line without any of this has no credential.
 SCREEN = (
@@ -67,6 +67,7 @@ SCREEN = (
     r"|AKIA|ASIA|gh[pousr]_|glpat-|xox[abeprs]-|[sr]k_(?:live|test)_|_(?:pat|tok|sec)_|AIza|eyJ|npm_|hf_"
 )
 _SHAPE = re.compile(rf"(?<![A-Za-z0-9_]){SHAPES.replace('|', '|(?<![A-Za-z0-9_])')}")
+_CUT_SHAPE = re.compile(rf"""(?P<quote>['"`])(?P<value>{PREFIXES}[\w.-]*)(?P=quote)""")
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _URL = re.compile(r"(?i)\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@'\"<>]*:([^\s'\"]+)@[A-Za-z0-9\[]")
@@ -184,6 +185,10 @@ def candidates(lines: list[str], at: int) -> list[Candidate]:
         if (m["op"] != "," or m["open"]) and secret_name(m["name"]):
             more, value = _pieces(lines, at, m.end("value") + 1, m["value"])
             out.append(Candidate(at, m.start("value"), m.end("value"), value, "named", True, True, bool(_SHAPE.fullmatch(value)), more))
+    for m in _CUT_SHAPE.finditer(line):
+        more, value = _pieces(lines, at, m.end("value") + 1, m["value"])
+        if more and _SHAPE.fullmatch(value):
+            out.append(Candidate(at, m.start("value"), m.end("value"), value, "shape", True, True, True, more))
     if m := _NAMED_OPEN.search(line):
         if secret_name(m["name"]) and at + 1 < len(lines) and (c := _CONTINUED.match(lines[at + 1])):
             more, value = _pieces(lines, at + 1, c.end("value") + 1, c["value"])

@@ -73,7 +73,7 @@ def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
 def pack(sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], capacity: int, idf: np.ndarray, mean: float) -> list[list[int]]:
     """Containers of one shard, as lists of item numbers; every size is from 1 to ``capacity``."""
     n = len(sizes)
-    lengths = np.asarray([len(t) for t in terms])
+    lengths = np.asarray([len(t) for t in terms], np.int64)
     doc = np.repeat(np.arange(n, dtype=np.int32), lengths)
     term = np.concatenate(terms) if n else np.zeros(0, np.int32)
     tf = np.concatenate(counts).astype(float) if n else np.zeros(0)
