@@ -42,7 +42,7 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("go", None, 1.23456)], "language string, x string, v double")
     jsonl.write_jsonl(df, str(tmp_path / "j"), partition_by=["language"])
     assert json.loads(next((tmp_path / "j" / "language=go").glob("*.json")).read_text()) == {"x": None, "v": 1.23456}
-    jsonl.write_csv(df.select("language", "v"), str(tmp_path / "c"))
+    jsonl.write_csv(df.select("language", "v").coalesce(1), str(tmp_path / "c"))
     assert next((tmp_path / "c").glob("*.csv")).read_text().split() == ["language,v", "go,1.235"]
     jsonl.replace_path(spark, df, str(tmp_path / "r"))
     jsonl.replace_path(spark, spark.read.json(str(tmp_path / "r")).withColumn("y", F.lit(1)), str(tmp_path / "r"))
