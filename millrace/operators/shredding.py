@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
+from .batches import pieces
 
 POSITION = "#"
 
@@ -331,7 +332,7 @@ def shredded_children(df: DataFrame, key: str, source: str | Column, shape: Node
     names the child in its record, ``parent_path`` the child that holds it ('' for the record itself), ``attributes``
     its own leaves that aren't null.
 
-    One narrow pass: no shuffle, and a task holds one Arrow batch.
+    One narrow pass: no shuffle, and a task holds a few megabytes of lines, or one longer line, as columns.
     """
     ship(df.sparkSession)
     source = F.col(source) if isinstance(source, str) else source
@@ -354,17 +355,18 @@ def shredded_children(df: DataFrame, key: str, source: str | Column, shape: Node
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = _children(keys, shred(map(parse_record, lines), shape))
-            if out is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(out["key"].tolist(), arrow_key),
-                        *(pa.array(out[n].tolist(), pa.string()) for n in arrow.names[1:5]),
-                        pa.array(out["attributes"].tolist(), arrow.types[5]),
-                    ],
-                    schema=arrow,
-                )
+            for part in pieces(batch, 1):
+                keys, lines = part.column(0).to_pylist(), part.column(1).to_pylist()
+                out = _children(keys, shred(map(parse_record, lines), shape))
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(out["key"].tolist(), arrow_key),
+                            *(pa.array(out[n].tolist(), pa.string()) for n in arrow.names[1:5]),
+                            pa.array(out["attributes"].tolist(), arrow.types[5]),
+                        ],
+                        schema=arrow,
+                    )
 
     return df.select(F.col(key), source.alias("__source")).mapInArrow(run, schema)
 
