@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .batches import pieces
+from ..operators.batches import pieces
 
 #: Letters of other scripts that are drawn like Latin ones, as "look-alikes" -> "Latin letters", position by position.
 LOOKALIKES = [

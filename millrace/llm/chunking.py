@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .batches import pieces as batch_pieces
+from ..operators.batches import pieces as batch_pieces
 from .tokens import TOKENIZER_DIR, TOKENIZER_FILE, encoding
 
 STRENGTHS = ("definition", "blank_line", "line", "space")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .batches import pieces
+from ..operators.batches import pieces
 from .tokens import TOKENIZER_DIR, TOKENIZER_FILE, chars_per_token
 
 #: Strings with fewer characters per subword than this are unnatural; longer ones are made of words.

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize, ship
-from .batches import pieces
+from ..operators.batches import pieces
 
 FEATURES = (
     "compression_ratio",  # compressed bytes to bytes of the body

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize, ship
-from .batches import pieces
+from ..operators.batches import pieces
 from .tokens import TOKENIZER_DIR, TOKENIZER_FILE, VOCABULARY, encode
 
 #: Tokens in a shard (about 4,000 documents): bounds a task's memory, and the neighbours that a seed can find.

@@ -5,8 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.batches import pieces
 from millrace.llm.canonical import LOOKALIKES, canonical_array, canonical_text, lookalike_pairs
+from millrace.operators.batches import pieces
 
 
 def canonical(*texts):
