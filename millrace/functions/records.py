@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, strip
 
 #: Beginnings of a response that is an error, and what stands for an empty one.
 ERROR_PREFIX = r"^(Error|Exception|\[ERROR:)"
 EMPTY_ERROR = "Empty response from model"
 
 
-def stripped(c: str | Column) -> Column:
-    """Text without white space of any script at its ends."""
-    return F.regexp_replace(col(c).cast("string"), r"(?U)^\s+|\s+$", "")
-
-
 def blank(c: str | Column) -> Column:
     """Whether a text has white space of any script only; null counts as blank."""
     return F.coalesce(col(c), F.lit("")).rlike(r"(?U)^\s*$")
@@ -24,12 +19,12 @@ def blank(c: str | Column) -> Column:
 
 def task_number(task_id: str | Column) -> Column:
     """The id as an integer if it is one (IDS-01): ``" 007 "`` is 7; else null."""
-    return stripped(task_id).try_cast("bigint")
+    return strip(col(task_id).cast("string")).try_cast("bigint")
 
 
 def task_key(task_id: str | Column) -> Column:
     """Canonical text of an id: the integer, else the trimmed text; null and blank are ``unknown``."""
-    return F.coalesce(task_number(task_id).cast("string"), F.nullif(stripped(task_id), F.lit("")), F.lit("unknown"))
+    return F.coalesce(task_number(task_id).cast("string"), F.nullif(strip(col(task_id).cast("string")), F.lit("")), F.lit("unknown"))
 
 
 def task_order(task_id: str | Column) -> list[Column]:

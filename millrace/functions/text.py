@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Where a text is cut into lines besides ``\\n``: \\r\\n, \\r, vertical tab, form feed, NEL, line and paragraph separator.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 #: Beginnings of comment lines.
 COMMENT_PREFIX = r"^(//|#|--|/\*|\*)"
 #: Languages whose tag a fence may have.
@@ -22,10 +22,23 @@ SOURCE_ENDINGS = (".py", ".go", ".rs", ".jl", ".rb", ".php", ".js", ".ts", ".jav
 VENDOR_FOLDERS = ("vendor", "vendors", "third_party", "thirdparty", "external", "deps", "node_modules", "bower_components", "gems", "pkg/mod", "site-packages", "Godeps", "bundle")
 
 
+#: White space of all scripts, as Python's ``strip`` removes it.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c: str | Column) -> Column:
+    """Text without white space at its ends; Spark's ``trim`` removes spaces only."""
+    return F.btrim(col(c), F.lit(WHITE))
+
+
+def rstrip(c: str | Column) -> Column:
+    return F.rtrim(col(c), F.lit(WHITE))
+
+
 def lines(text: str | Column) -> Column:
     """Lines as Python's ``split('\\n')`` gives them: a final line end gives a last empty line."""
     return F.split(col(text), "\n", -1)
@@ -46,7 +59,7 @@ def words(text: str | Column) -> Column:
 
 def code_line_count(text: str | Column) -> Column:
     """Lines that are neither blank nor comments (FLT-02)."""
-    return F.size(F.filter(lines(text), lambda line: (F.trim(line) != "") & ~F.trim(line).rlike(COMMENT_PREFIX)))
+    return F.size(F.filter(lines(text), lambda line: (strip(line) != "") & ~strip(line).rlike(COMMENT_PREFIX)))
 
 
 def fenced_code(text: str | Column) -> Column:
@@ -70,7 +83,7 @@ def package_name(content: str | Column, language: str | Column) -> Column:
 
     Go, Julia and Rust lines may be indented; Ruby and PHP lines may not.
     """
-    content, language = col(content), F.lower(F.trim(col(language)))
+    content, language = col(content), F.lower(strip(col(language)))
     return (
         F.when(language == "go", F.regexp_extract(content, r"(?m)^[ \t]*package[ \t]+([A-Za-z_]\w*)", 1))
         .when(language == "julia", F.regexp_extract(content, r"(?m)^[ \t]*module[ \t]+([A-Za-z_]\w*)", 1))
@@ -120,12 +133,12 @@ def option_list(text: str | Column, single: str | Column | None = None) -> Colum
     parts = F.coalesce(F.split(col(text), ",", -1), F.array().cast("array<string>"))
     if single is not None:
         parts = F.concat(parts, F.array(F.coalesce(col(single), F.lit(""))))
-    return F.array_distinct(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""))
+    return F.array_distinct(F.filter(F.transform(parts, lambda p: strip(p)), lambda p: p != ""))
 
 
 def whitespace_normalised(text: str | Column) -> Column:
     """Runs of white space as one space (TXT-25)."""
-    return F.trim(F.regexp_replace(col(text), r"\s+", " "))
+    return strip(F.regexp_replace(col(text), r"\s+", " "))
 
 
 def first_line(text: str | Column) -> Column:
@@ -137,7 +150,7 @@ def first_line(text: str | Column) -> Column:
 def first_error_line(log: str | Column) -> Column:
     """First line of a log that names an error, else the first that isn't blank, trimmed, 200 characters; '' if none (TXT-21)."""
     log = F.coalesce(col(log), F.lit(""))
-    trimmed = F.transform(F.split(log, "\n", -1), lambda s: F.trim(s))
+    trimmed = F.transform(F.split(log, "\n", -1), lambda s: strip(s))
     named = F.filter(trimmed, lambda s: F.lower(s).rlike("|".join(ERROR_WORDS)))
     return F.substring(F.coalesce(F.get(named, F.lit(0)), F.get(F.filter(trimmed, lambda s: s != ""), F.lit(0)), F.lit("")), 1, 200)
 
@@ -160,7 +173,7 @@ def log_line_number(log: str | Column, language: str | Column | None = None) ->
 
 def without_metadata(text: str | Column) -> Column:
     """Text without its METADATA block (TXT-23)."""
-    return F.trim(F.regexp_replace(col(text), r"(?s)METADATA\s*=\s*\{.*?\}", ""))
+    return strip(F.regexp_replace(col(text), r"(?s)METADATA\s*=\s*\{.*?\}", ""))
 
 
 def range_text(text: str | Column, start_line: Column, start_char: Column, end_line: Column, end_char: Column) -> Column:
@@ -208,11 +221,11 @@ def condition_identifiers(condition: str | Column) -> Column:
 
 def normalised_condition(condition: str | Column, rounds: int = 4) -> Column:
     """A condition trimmed, without outer brackets and double negations, for up to ``rounds`` layers (TXT-19)."""
-    c = F.trim(col(condition))
+    c = strip(col(condition))
     for _ in range(rounds):
-        c = F.trim(F.regexp_replace(c, r"^!\s*\(\s*!\s*\((.*)\)\s*\)$", "$1"))
-        c = F.trim(F.regexp_replace(c, r"^!\s*!\s*", ""))
-        c = F.when(c.rlike(r"^\([^()]*(?:\([^()]*\)[^()]*)*\)$"), F.trim(F.substring(c, F.lit(2), F.length(c) - 2))).otherwise(c)
+        c = strip(F.regexp_replace(c, r"^!\s*\(\s*!\s*\((.*)\)\s*\)$", "$1"))
+        c = strip(F.regexp_replace(c, r"^!\s*!\s*", ""))
+        c = F.when(c.rlike(r"^\([^()]*(?:\([^()]*\)[^()]*)*\)$"), strip(F.substring(c, F.lit(2), F.length(c) - 2))).otherwise(c)
     return c
 
 
@@ -221,14 +234,14 @@ def signature(code: str | Column, language: str | Column) -> Column:
 
     A Julia short form is cut at the ``=`` after its brackets; Go and Rust lose the ``{`` at the end.
     """
-    code, language = col(code), F.lower(F.trim(col(language)))
+    code, language = col(code), F.lower(strip(col(language)))
     body = F.regexp_replace(code, r"^(?:[ \t]*\r?\n)+", "")
     first = F.split(body, "\n", -1)[0]
     opened = F.regexp_extract(body, r"(?s)^((?:[^()\n]*)\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)[^\n]*)", 1)
     full = F.when(F.contains(first, F.lit("(")) & (opened != ""), opened).otherwise(first)
     short = F.regexp_replace(full, r"^([^(]*\((?:[^()]|\([^()]*\))*\)(?:\s*::\s*[\w{}.,]+)?)\s*=(?!=).*$", "$1")
     full = F.when((language == "julia") & ~full.rlike(r"^\s*(?:function|macro)\b"), short).otherwise(full)
-    return F.trim(F.when(language.isin("go", "rust"), F.regexp_replace(full, r"\s*\{\s*$", "")).otherwise(full))
+    return strip(F.when(language.isin("go", "rust"), F.regexp_replace(full, r"\s*\{\s*$", "")).otherwise(full))
 
 
 def without_comments(code: str | Column, language: str | Column) -> Column:
@@ -236,7 +249,7 @@ def without_comments(code: str | Column, language: str | Column) -> Column:
 
     C-like and PHP: block comments, ``//`` (PHP also ``#``); Julia: ``#= =#`` and ``#``; Ruby: ``=begin ... =end`` and ``#``.
     """
-    code, language = col(code), F.lower(F.trim(col(language)))
+    code, language = col(code), F.lower(strip(col(language)))
     block = (
         F.when(language == "julia", F.regexp_replace(code, r"(?s)#=.*?=#", ""))
         .when(language == "ruby", F.regexp_replace(code, r"(?ms)^=begin.*?^=end[^\n]*", ""))
@@ -244,7 +257,7 @@ def without_comments(code: str | Column, language: str | Column) -> Column:
     )
     mark = F.when(language.isin("julia", "ruby"), "#").when(language == "php", "(?://|#)").otherwise("//")
     stripped = F.transform(F.split(block, "\n", -1), lambda s: F.regexp_replace(s, F.concat(mark, F.lit(".*$")), F.lit("")))
-    return F.array_join(F.filter(F.transform(stripped, lambda s: F.rtrim(s)), lambda s: F.trim(s) != ""), "\n")
+    return F.array_join(F.filter(F.transform(stripped, lambda s: rstrip(s)), lambda s: strip(s) != ""), "\n")
 
 
 #: Words of tests, by which blocks of a response are told.
@@ -257,7 +270,7 @@ def best_block(response: str | Column) -> Column:
     found = F.regexp_extract_all(r, F.lit(r"(?s)```[A-Za-z+#]*[ \t]*\r?\n(.*?)```"), F.lit(1))
     tests = F.filter(found, lambda b: reduce(lambda x, y: x | y, [F.contains(b, F.lit(w)) for w in TEST_WORDS]))
     longest = F.array_max(F.transform(found, lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b"))))["b"]
-    return F.trim(F.coalesce(F.get(tests, F.lit(0)), longest, r))
+    return strip(F.coalesce(F.get(tests, F.lit(0)), longest, r))
 
 
 def test_score(code: str | Column) -> Column:

@@ -18,6 +18,7 @@ SQL: dict[str, str] = {}
 
 #: Words that SQL twins share: one spelling of a language, and a missing flag.
 LANG = "lower(trim(language))"
+WHITE = "'" + text.WHITE + "'"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -330,7 +331,7 @@ def repo_from_path(spark: SparkSession, sf: str) -> DataFrame:
     return _functions(spark, sf).select("file_path", text.repo_of("file_path").alias("repo"), text.repo_or_unknown("file_path").alias("julia_repo")).distinct()
 
 
-_LINES = r"len(list_filter(string_split({0}, chr(10)), lambda s: trim(s) <> '' AND NOT regexp_matches(trim(s), '^(//|#|--|/\*|\*)')))"
+_LINES = rf"len(list_filter(string_split({{0}}, chr(10)), lambda s: trim(s, {WHITE}) <> '' AND NOT regexp_matches(trim(s, {WHITE}), '^(//|#|--|/\*|\*)')))"
 
 
 @query(f"SELECT record_id, CAST({_LINES.format('focal_code')} AS INTEGER) AS n_lines FROM function_metadata")
@@ -362,8 +363,8 @@ def fence_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(rf"""WITH b AS (SELECT record_id, {LANG} AS l, CASE {LANG} WHEN 'julia' THEN regexp_replace(focal_code, '(?s)#=.*?=#', '', 'g') WHEN 'ruby' THEN regexp_replace(focal_code, '(?ms)^=begin.*?^=end[^\n]*', '', 'g')
         ELSE regexp_replace(focal_code, '(?s)/\*.*?\*/', '', 'g') END AS c FROM function_metadata)
-    SELECT record_id, array_to_string(list_filter(list_transform(string_split(c, chr(10)), lambda s: rtrim(CASE WHEN l IN ('julia', 'ruby') THEN regexp_replace(s, '#.*$', '') WHEN l = 'php' THEN regexp_replace(s, '(?://|#).*$', '') ELSE regexp_replace(s, '//.*$', '') END)),
-        lambda s: trim(s) <> ''), chr(10)) AS code FROM b""")
+    SELECT record_id, array_to_string(list_filter(list_transform(string_split(c, chr(10)), lambda s: rtrim(CASE WHEN l IN ('julia', 'ruby') THEN regexp_replace(s, '#.*$', '') WHEN l = 'php' THEN regexp_replace(s, '(?://|#).*$', '') ELSE regexp_replace(s, '//.*$', '') END, {WHITE})),
+        lambda s: trim(s, {WHITE}) <> ''), chr(10)) AS code FROM b""")
 def comment_strip(spark: SparkSession, sf: str) -> DataFrame:
     return _functions(spark, sf).select("record_id", text.without_comments("focal_code", "language").alias("code"))
 
@@ -381,7 +382,7 @@ def padded_tests(spark: SparkSession, sf: str) -> DataFrame:
     return _padded(spark, sf).select("result_id", "position", "test_code", "log", "synthetic")
 
 
-@query(rf"""WITH {_LOGS}, t AS (SELECT result_id, position, log, list_transform(string_split(coalesce(log, ''), chr(10)), lambda s: trim(s)) AS x FROM p)
+@query(rf"""WITH {_LOGS}, t AS (SELECT result_id, position, log, list_transform(string_split(coalesce(log, ''), chr(10)), lambda s: trim(s, {WHITE})) AS x FROM p)
     SELECT result_id, position, coalesce(list_filter(x, lambda s: regexp_matches(lower(s), 'error|failed|exception|panic|fatal'))[1], list_filter(x, lambda s: s <> '')[1], '')[1:200] AS error_line,
         coalesce(try_cast(regexp_extract(log, '(?i)line[:\s]+(\d+)', 1) AS INTEGER), try_cast(regexp_extract(log, ':(\d+):', 1) AS INTEGER)) AS line_number FROM t""")
 def first_error_line(spark: SparkSession, sf: str) -> DataFrame:

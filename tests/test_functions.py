@@ -35,6 +35,7 @@ def test_success(spark, status, response, good):
 
 def test_line_count_and_lines(spark):
     assert one(spark, text.code_line_count("x"), row=("a\n\n// c\n# d\n b",)) == 2
+    assert one(spark, text.code_line_count("x"), row=("\tx\n\t// c\n\t\n\u00a0\n",)) == 1
     assert one(spark, text.lines("x"), row=("a\nb\n",)) == ["a", "b", ""]
     assert one(spark, text.splitlines("x"), row=("a\r\nb\rc\n",)) == ["a", "b", "c"]
     assert one(spark, text.splitlines("x"), row=("",)) == []

@@ -1,10 +1,11 @@
 import pytest
 
 from comparing import same
-from millrace.plans import core_queries, nested_queries
+from millrace.plans import core_queries, detail_queries, nested_queries
 
-ALL = {**core_queries.queries(), **nested_queries.queries()}
-SQL = {**core_queries.oracle_sql(), **nested_queries.oracle_sql()}
+MODULES = (core_queries, detail_queries, nested_queries)
+ALL = {k: v for m in MODULES for k, v in m.queries().items()}
+SQL = {k: v for m in MODULES for k, v in m.oracle_sql().items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
