@@ -6,6 +6,8 @@ null, empty, of unequal length, or hold nulls). Rates are doubles in percent; a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +67,11 @@ def summary(df: DataFrame, groups: list[str] | None = None) -> DataFrame:
         return F.aggregate(F.transform(F.coalesce(array, F.array()), number), F.lit(0.0), lambda a, x: a + x)
 
     n = F.col("max_tests")
-    sliced = df.join(longest, groups) if groups else df.crossJoin(F.broadcast(longest))  # one row
+    if groups:
+        keys = [df[g].eqNullSafe(F.col(f"__{g}")) for g in groups]
+        sliced = df.join(longest.withColumnsRenamed({g: f"__{g}" for g in groups}), reduce(lambda a, b: a & b, keys))
+    else:
+        sliced = df.withColumn("max_tests", longest.scalar())
     kept = F.slice(F.coalesce("coverage_stats", F.array()), F.lit(1), F.greatest(n, F.lit(0)))
     covered = F.aggregate(
         F.transform(kept, lambda c: F.coalesce(F.try_divide(c["covered_lines"].cast("double"), c["total_lines"].cast("double")), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x
@@ -112,13 +118,6 @@ def disagreement(facts: DataFrame, groups: list[str]) -> DataFrame:
     return out.select(*groups, "level", "n_checks", "tpr_count", "ir_fail_count", rate(F.col("tpr_count"), F.col("n_checks")).alias("tpr_rate"), rate(F.col("ir_fail_count"), F.col("tpr_count")).alias("disagreement_rate"))
 
 
-def sample_success(df: DataFrame) -> Column:
-    """Whether any test of a sample passes and covers lines (SET-02): more than 1 for Ruby, more than 0 else; a missing statistic counts as none."""
-    least = F.when(F.lower(F.trim(F.col("language"))) == "ruby", 1).otherwise(0)
-    both = F.arrays_zip(F.coalesce("checks", F.array()).alias("c"), F.coalesce("coverage_stats", F.array()).alias("s"))
-    return F.exists(both, lambda x: flag(x["checks" if "checks" in df.columns else "c"]["tests"]) & flag(x["coverage_stats" if "coverage_stats" in df.columns else "s"]["covered_lines"] > least))
-
-
 def successes(df: DataFrame, keys: list[str], model: str) -> DataFrame:
     """Distinct (keys, model) with a successful sample (SET-02)."""
     least = F.when(F.lower(F.trim(F.col("language"))) == "ruby", 1).otherwise(0)

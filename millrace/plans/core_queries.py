@@ -429,9 +429,9 @@ def error_classify(spark: SparkSession, sf: str) -> DataFrame:
     SELECT r.category AS category, count(*) AS n, count(DISTINCT coalesce(task_id, -1)) AS n_tasks, CAST(count(*) AS DOUBLE) * 100 / max(n.errors) AS error_share, CAST(count(*) AS DOUBLE) * 100 / max(n.tests) AS test_share FROM e, n WHERE r IS NOT NULL GROUP BY r.category""")
 def error_summary(spark: SparkSession, sf: str) -> DataFrame:
     e = _classified(spark, sf)
-    whole = e.agg(F.count("*").alias("tests"), F.count("r").alias("errors"))
+    tests, found = e.agg(F.count("*")).scalar(), e.agg(F.count("r")).scalar()
     own = e.where("r IS NOT NULL").groupBy("r.category").agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("task_id", F.lit(-1))).alias("n_tasks"))
-    return own.join(F.broadcast(whole)).select("category", "n", "n_tasks", evaluation.rate(F.col("n"), F.col("errors")).alias("error_share"), evaluation.rate(F.col("n"), F.col("tests")).alias("test_share"))  # one row
+    return own.select("category", "n", "n_tasks", evaluation.rate(F.col("n"), found).alias("error_share"), evaluation.rate(F.col("n"), tests).alias("test_share"))
 
 
 @query(_classify_sql() + ", k AS (SELECT CASE " + " ".join(

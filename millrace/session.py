@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_rooted: set[str] = set()
 
 
 def make_session(app: str = "millrace", cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -69,10 +70,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     It cuts the lineage at a table that outlives any executor, keeps columns prunable, and lets several
-    consumers read what was computed once.
+    consumers read what was computed once. The tables of an application are deleted when its driver ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    root = f"{scratch_dir(spark)}/millrace-{sc.applicationId}"
+    if root not in _rooted:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        _rooted.add(root)
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
