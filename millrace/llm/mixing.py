@@ -106,11 +106,11 @@ def mixture(
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Shares really reached: ``source, target_share, max_repeats, n_tokens, n_records, most_uses, share``; a row for each target."""
     own = mixed.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_records"), (F.max("use_no") + 1).alias("most_uses"))
-    whole = own.agg(F.sum("n_tokens").alias("__all"))
+    whole = own.agg(F.sum("n_tokens")).scalar()
     wanted = targets.select(source_name("source").alias("source"), "target_share", "max_repeats")
-    report = wanted.join(own, "source", "left").join(F.broadcast(whole))  # one row
+    report = wanted.join(own, "source", "left")
     zero = F.lit(0).cast("bigint")
     return report.select(
         "source", "target_share", "max_repeats", F.coalesce("n_tokens", zero).alias("n_tokens"), F.coalesce("n_records", zero).alias("n_records"),
-        F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce(F.col("n_tokens") / F.col("__all"), F.lit(0.0)).alias("share"),
+        F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce(F.col("n_tokens") / whole, F.lit(0.0)).alias("share"),
     )
