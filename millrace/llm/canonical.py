@@ -55,6 +55,9 @@ EMOJI = [(0x2190, 0x21FF), (0x2300, 0x23FF), (0x2600, 0x27BF), (0x2B00, 0x2BFF),
 #: Tags of decompositions whose result is displayed otherwise than the character.
 APART = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>")
 
+#: Bytes of text whose code points are held at once, in some arrays of eight bytes each.
+PIECE_BYTES = 1 << 20
+
 _TOP = sys.maxunicode + 1
 _DROP, _HANGUL = -1, range(0xAC00, 0xD7A4)
 
@@ -262,7 +265,7 @@ def canonical_text(df: DataFrame, text: str, into: str = "canonical", keep: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, at):
+            for part in pieces(batch, at, PIECE_BYTES):
                 out = canonical_array(part.column(at)).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), out], names=[*names, into])
 

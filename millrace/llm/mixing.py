@@ -91,11 +91,12 @@ def mixture(
     uses = uses.withColumn("block_no", F.floor(F.col("position") / F.lit(block)).cast("bigint"))
     slots = max(1, math.ceil(size / block))
     turn, edge = F.expr(f"(id * {GOLDEN}D + 0.5D) - floor(id * {GOLDEN}D + 0.5D)"), 0.0
-    picked: Column = F.lit(None).cast("string")
+    last = max(quota, default="")
+    picked: Column = F.when(F.lit(False), last)
     for s, q in sorted(quota.items()):
-        picked = F.when(picked.isNull() & (turn >= edge) & (turn < edge + q / size), s).otherwise(picked)
         edge += q / size
-    schedule = spark.range(slots).select(F.col("id").alias("slot"), F.coalesce(picked, F.lit(max(quota, default=""))).alias("source"), F.lit(1).alias("one"))
+        picked = picked.when(turn < edge, s)
+    schedule = spark.range(slots).select(F.col("id").alias("slot"), picked.otherwise(last).alias("source"), F.lit(1).alias("one"))
     ranked = running_total(schedule, "source", F.floor(F.col("slot") / F.lit(bucket_rows)), ["slot"], "one", "block_no")
     ranked = ranked.select("source", F.col("block_no").cast("bigint").alias("block_no"), "slot")
     joined = uses.join(ranked, ["source", "block_no"], "left")
