@@ -3,7 +3,7 @@
 Documents are sharded by a hash of their key; each shard has a bounded number of tokens and a BM25 index of its own over
 token ids, with document frequencies and lengths of the whole corpus. The largest unused document seeds a container;
 the index returns its nearest unused neighbours, which fill the window greedily; what room is left then takes the
-largest unused documents that still fit. A document is split only if it alone exceeds the capacity: into full
+largest unused documents that still fit. What the shards' last containers leave empty is filled by merging these. A document is split only if it alone exceeds the capacity: into full
 containers and a rest that is packed like any other document.
 """
 
@@ -14,6 +14,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,7 +143,7 @@ def containers(df: DataFrame, key: str, text: str, limits: dict[str, int], folde
     schema = T.StructType(
         [
             T.StructField("limit_name", T.StringType()), T.StructField("container_id", T.LongType()), T.StructField("item_no", T.IntegerType()),
-            T.StructField(key, key_type), T.StructField("piece_no", T.IntegerType()), T.StructField("first_token", T.LongType()), T.StructField("n_tokens", T.LongType()),
+            T.StructField(key, key_type), T.StructField("piece_no", T.IntegerType()), T.StructField("first_token", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("box_tokens", T.LongType()),
         ]
     )
     spark = df.sparkSession
@@ -162,28 +163,64 @@ def containers(df: DataFrame, key: str, text: str, limits: dict[str, int], folde
             for i in np.flatnonzero(sizes > capacity).tolist():
                 whole = int(sizes[i]) // capacity
                 for piece in range(whole):
-                    _row(rows, name, shard << 32 | made, 0, i, piece, piece * capacity, capacity)
+                    _row(rows, name, shard << 32 | made, 0, i, piece, piece * capacity, capacity, capacity)
                     made += 1
                 rest[i] = sizes[i] - whole * capacity
             some = np.flatnonzero(rest > 0)
             for box in pack(rest[some], [terms[i] for i in some], [counts[i] for i in some], capacity, shared_idf.value, mean):
+                filled = int(rest[some[box]].sum())
                 for no, k in enumerate(box):
                     i = int(some[k])
-                    _row(rows, name, shard << 32 | made, no, i, int(sizes[i]) // capacity if sizes[i] > capacity else 0, int(sizes[i] - rest[i]), int(rest[i]))
+                    _row(rows, name, shard << 32 | made, no, i, int(sizes[i]) // capacity if sizes[i] > capacity else 0, int(sizes[i] - rest[i]), int(rest[i]), filled)
                 made += 1
         item = pa.array(rows[key], pa.int64())
         return pa.table(
             {
                 "limit_name": pa.array(rows["limit_name"], pa.string()), "container_id": pa.array(rows["container_id"], pa.int64()), "item_no": pa.array(rows["item_no"], pa.int32()),
-                key: keys.take(item), "piece_no": pa.array(rows["piece_no"], pa.int32()), "first_token": pa.array(rows["first_token"], pa.int64()), "n_tokens": pa.array(rows["n_tokens"], pa.int64()),
+                key: keys.take(item), "piece_no": pa.array(rows["piece_no"], pa.int32()), "first_token": pa.array(rows["first_token"], pa.int64()), "n_tokens": pa.array(rows["n_tokens"], pa.int64()), "box_tokens": pa.array(rows["box_tokens"], pa.int64()),
             }
         )
 
-    def _row(rows: dict, name: str, container: int, no: int, item: int, piece: int, first: int, size: int) -> None:
-        for column, value in zip(rows, (name, container, no, item, piece, first, size), strict=True):
+    def _row(rows: dict, name: str, container: int, no: int, item: int, piece: int, first: int, size: int, filled: int) -> None:
+        for column, value in zip(rows, (name, container, no, item, piece, first, size, filled), strict=True):
             rows[column].append(value)
 
-    return sharded.groupBy("shard").applyInArrow(run, schema)
+    assigned = materialize(sharded.groupBy("shard").applyInArrow(run, schema), "containers")
+    moved = merged_rest(assigned, limits, shards)
+    both = assigned.join(moved, ["limit_name", "container_id"], "left")
+    return both.select("limit_name", F.coalesce("into", "container_id").alias("container_id"), (F.col("item_no") + F.coalesce("shift", F.lit(0))).alias("item_no"), key, "piece_no", "first_token", "n_tokens")
+
+
+#: Containers filled less than this are merged, as wholes, with those of other shards.
+WELL_FILLED = 0.95
+
+
+def merged_rest(assigned: DataFrame, limits: dict[str, int], shards: int, group_size: int = 5000) -> DataFrame:
+    """Where the poorly filled last containers of the shards go: ``limit_name, container_id, into, shift`` (of item numbers).
+
+    There are about two of them in a shard. Groups of them are bounded by ``group_size`` shards; in each the fullest
+    container that still fits joins the fullest one that is open.
+    """
+    capacity = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("limit_name")]
+    poor = assigned.where(F.col("box_tokens") < WELL_FILLED * capacity).groupBy("limit_name", "container_id").agg(F.max("box_tokens").alias("tokens"), F.count("*").cast("int").alias("items"))
+    poor = poor.withColumn("part", F.pmod(F.xxhash64("container_id"), F.lit(max(1, math.ceil(shards / group_size)))))
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        room_of = limits[group["limit_name"].iloc[0]]
+        group = group.sort_values(["tokens", "container_id"])
+        left = list(zip(group["tokens"].tolist(), group["container_id"].tolist(), group["items"].tolist(), strict=True))
+        out = []
+        while left:
+            tokens, into, shift = left.pop()
+            out.append((into, into, 0))
+            room = room_of - tokens
+            while left and left[0][0] <= room:
+                more, moved, items = left.pop(bisect_right(left, (room, 2**63, 0)) - 1)
+                out.append((moved, into, shift))
+                room, shift = room - more, shift + items
+        return pd.DataFrame(out, columns=["container_id", "into", "shift"]).assign(limit_name=group["limit_name"].iloc[0])[["limit_name", "container_id", "into", "shift"]]
+
+    return poor.groupBy("limit_name", "part").applyInPandas(merge, "limit_name string, container_id bigint, into bigint, shift int")
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:

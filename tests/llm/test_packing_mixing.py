@@ -35,7 +35,11 @@ def test_every_document_once_and_whole(spark):
                 assert len(p) == math.ceil(size[i] / capacity) and sum(n for *_, n in p) == size[i]
                 assert [f for _, f, _ in p] == [k * capacity for k in range(len(p))]
             least = math.ceil(sum(size.values()) / capacity)
-            assert len(fill) <= least * 1.1 + (1 if shard_tokens > 10**5 else 12)
+            assert len(fill) <= least * 1.06 + 1
+            numbers = {}
+            for r in own:
+                numbers.setdefault(r.container_id, []).append(r.item_no)
+            assert all(sorted(n) == list(range(len(n))) for n in numbers.values())
 
 
 def test_neighbours_share_words():
