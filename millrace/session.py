@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -36,19 +37,24 @@ def make_session(app: str = "millrace", cpus: int | str = "*", partitions: int =
 def ship(spark: SparkSession) -> None:
     """Make this package importable in every Python worker, whatever their working directory is.
 
-    The sources are zipped once per Spark context and distributed with ``addPyFile``.
+    The sources are zipped once per Spark context into the shared folder and distributed with ``addPyFile``.
     """
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
-    root = Path(__file__).resolve().parent
-    if root.parent.suffix == ".zip":  # already running out of a shipped copy
+    package = Path(__file__).resolve().parent
+    if package.parent.suffix == ".zip":  # already running out of a shipped copy
         return
-    archive = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace_src.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(root.rglob("*.py")):
-            out.write(path, str(path.relative_to(root.parent)))
-    sc.addPyFile(str(archive))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, str(path.relative_to(package.parent)))
+    target = f"{_application_dir(spark)}/millrace_src.zip"
+    where = spark._jvm.org.apache.hadoop.fs.Path(target)
+    stream = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where, True)
+    stream.write(packed.getvalue())
+    stream.close()
+    sc.addPyFile(target)
     _shipped.add(sc.applicationId)
 
 
@@ -66,13 +72,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    It cuts the lineage at a table that outlives any executor, keeps columns prunable, and lets several
-    consumers read what was computed once. The tables of an application are deleted when its driver ends.
-    """
-    spark = df.sparkSession
+def _application_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted when the driver ends."""
     sc = spark.sparkContext
     root = f"{scratch_dir(spark)}/millrace-{sc.applicationId}"
     if root not in _rooted:
@@ -81,9 +82,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         fs.mkdirs(folder)
         fs.deleteOnExit(folder)
         _rooted.add(root)
-    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    return root
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    It cuts the lineage at a table that outlives any executor, keeps columns prunable, and lets several
+    consumers read what was computed once. The tables of an application are deleted when its driver ends.
+    """
+    path = f"{_application_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
