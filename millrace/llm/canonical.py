@@ -272,18 +272,26 @@ def canonical_text(df: DataFrame, text: str, into: str = "canonical", keep: list
     return df.mapInArrow(run, schema)
 
 
+#: Parts that the rows of one spelling are spread over in the joins.
+SALTS = 16
+
+
 def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs of rows whose texts are displayed alike but are different strings: ``<key>_1 < <key>_2``.
 
     Rows with null text or null key are in no pair; identical strings make no pair, each copy pairs with each other
-    spelling. A form that only one spelling has - be it a third of all rows - is dropped by a pre-aggregated count of
-    spellings before anything is joined, so that the join meets only rows that have a partner; what is shuffled are
-    hashes, never texts.
+    spelling. What is shuffled are hashes, never texts. Spellings are made distinct by a map-side combined aggregation
+    before they are paired, so copies of one text never meet each other; a form that only one spelling has - be it a third
+    of all rows - pairs with nothing. The rows of a spelling join its pairs in salted parts.
     """
-    forms = canonical_text(df.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()), text, "__form")
-    forms = forms.select(key, F.md5(F.col("__form").cast("binary")).alias("__form"), F.md5(F.col(text).cast("binary")).alias("__spelling"))
-    spellings = forms.groupBy("__form").agg(F.min("__spelling").alias("low"), F.max("__spelling").alias("high")).where("low <> high").select("__form")
-    several = forms.join(spellings, "__form", "left_semi")
-    one = several.select("__form", F.col(key).alias(f"{key}_1"), F.col("__spelling").alias("s1"))
-    two = several.select("__form", F.col(key).alias(f"{key}_2"), F.col("__spelling").alias("s2"))
-    return one.join(two, "__form").where((F.col(f"{key}_1") < F.col(f"{key}_2")) & (F.col("s1") != F.col("s2"))).select(f"{key}_1", f"{key}_2").distinct()
+    hashes = canonical_text(df.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()), text, "__form")
+    hashes = hashes.select(key, F.md5(F.col("__form").cast("binary")).alias("form"), F.md5(F.col(text).cast("binary")).alias("spelling"))
+    spellings = hashes.select("form", "spelling").distinct()
+    several = spellings.groupBy("form").agg(F.min("spelling").alias("low"), F.max("spelling").alias("high")).where("low <> high").select("form")
+    several = spellings.join(several, "form", "left_semi")
+    pairs = several.select("form", F.col("spelling").alias("s1")).join(several.select("form", F.col("spelling").alias("s2")), "form").where("s1 < s2").select("s1", "s2")
+    salted = hashes.select(key, "spelling", F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("salt"))
+    all_salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    first = pairs.withColumn("salt", all_salts).join(salted.select(F.col(key).alias("a"), F.col("spelling").alias("s1"), "salt"), ["s1", "salt"]).drop("salt")
+    both = first.withColumn("salt", all_salts).join(salted.select(F.col(key).alias("b"), F.col("spelling").alias("s2"), "salt"), ["s2", "salt"])
+    return both.select(F.least("a", "b").alias(f"{key}_1"), F.greatest("a", "b").alias(f"{key}_2")).where(F.col(f"{key}_1") < F.col(f"{key}_2")).distinct()

@@ -79,6 +79,12 @@ def test_pairs_equal_brute_force(spark):
     assert lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_many_copies_of_one_spelling(spark):
+    rows = [(i, "same text") for i in range(20_000)] + [(20_000, "ѕame text"), (20_001, "other")]
+    got = lookalike_pairs(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert got.count() == 20_000 and got.where("doc_id_2 = 20000").count() == 20_000
+
+
 def test_pieces_hold_every_row():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["a" * 9, None, "b" * 30, "c"])], names=["i", "t"])
     parts = list(pieces(batch, 1, most=10))
