@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import materialize, ship
 from ..operators.batches import pieces
 
 #: Letters of other scripts that are drawn like Latin ones, as "look-alikes" -> "Latin letters", position by position.
@@ -285,7 +285,7 @@ def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     of all rows - pairs with nothing. The rows of a spelling join its pairs in salted parts.
     """
     hashes = canonical_text(df.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()), text, "__form")
-    hashes = hashes.select(key, F.md5(F.col("__form").cast("binary")).alias("form"), F.md5(F.col(text).cast("binary")).alias("spelling"))
+    hashes = materialize(hashes.select(key, F.md5(F.col("__form").cast("binary")).alias("form"), F.md5(F.col(text).cast("binary")).alias("spelling")), "forms")
     spellings = hashes.select("form", "spelling").distinct()
     several = spellings.groupBy("form").agg(F.min("spelling").alias("low"), F.max("spelling").alias("high")).where("low <> high").select("form")
     several = spellings.join(several, "form", "left_semi")
