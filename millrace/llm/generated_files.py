@@ -211,6 +211,8 @@ def file_features(df: DataFrame, path: str, content: str, repo: str | None = Non
 
 #: Share of a file's characters within rows of data from which it is mainly data.
 MAINLY_DATA = 0.75
+#: Parts that the files of one content are spread over in a join.
+SALTS = 16
 #: Minified by the numbers: hardly any white space between names of one or two characters.
 MINIFIED = {"space_share": 0.1, "identifier_short": 0.8}
 #: Bound of the sample that the forest is fitted on; both classes are sampled at one rate, so their shares stay.
@@ -281,6 +283,9 @@ def not_handwritten(df: DataFrame, path: str, content: str, sample: int = SAMPLE
         scored = model.transform(files.withColumn("x", array_to_vector("features"))).withColumn("probability", vector_to_array("probability")[1])
     entropy = _feature("token_entropy")
     recurring = files.where(entropy > 0).groupBy("body_hash").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a <> b").select("body_hash", F.lit(True).alias("recurs"))
+    # the rows of one content are spread over salted parts
+    recurring = recurring.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    scored = scored.withColumn("salt", F.pmod(F.hash(path), F.lit(SALTS)))
     reason = (
         F.when(F.col("notice") == 1, "generated")
         .when((F.col("notice") == 2) | F.col("third_party") | F.col("recurs"), "vendored")
@@ -288,4 +293,4 @@ def not_handwritten(df: DataFrame, path: str, content: str, sample: int = SAMPLE
         .when(_minified(), "minified")
         .when((F.col("probability") >= threshold) & (entropy > 0), "forest")
     )
-    return scored.join(recurring, "body_hash", "left").select(path, reason.alias("reason"), F.round("probability", 6).alias("probability")).where("reason IS NOT NULL")
+    return scored.join(recurring, ["body_hash", "salt"], "left").select(path, reason.alias("reason"), F.round("probability", 6).alias("probability")).where("reason IS NOT NULL")
