@@ -2,8 +2,8 @@
 
 Documents are sharded by a hash of their key; each shard has a bounded number of tokens and a BM25 index of its own over
 token ids, with document frequencies and lengths of the whole corpus. The largest unused document seeds a container;
-the index returns its nearest unused neighbours, which fill the window greedily; what room is left then takes the
-largest unused documents that still fit. What the shards' last containers leave empty is filled by merging these. A document is split only if it alone exceeds the capacity: into full
+the index scores all unused documents of the shard by all terms of the seed, and the nearest fill the window greedily
+until none fits; what room is left then takes the largest unused documents that share no term and still fit. What the shards' last containers leave empty is filled by merging these. A document is split only if it alone exceeds the capacity: into full
 containers and a rest that is packed like any other document.
 """
 
@@ -26,8 +26,6 @@ from .tokens import TOKENIZER_DIR, TOKENIZER_FILE, VOCABULARY, encode
 
 #: Tokens in a shard (about 4,000 documents): bounds a task's memory, and the neighbours that a seed can find.
 SHARD_TOKENS = 1_000_000
-#: Terms of the seed that it is looked up by: those with the highest weight in it.
-QUERY_TERMS = 48
 K1, B = 1.5, 0.75
 
 
@@ -99,9 +97,8 @@ def pack(sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], c
         box, room = [seed], capacity - int(sizes[seed])
         if left and room >= left[0][0]:
             a, b = begin[seed], begin[seed + 1]
-            own = np.argsort(-weight[a:b], kind="stable")[:QUERY_TERMS]
             score = np.zeros(n, np.float32)
-            for t in term[a:b][own].tolist():
+            for t in term[a:b].tolist():
                 s, e = starts[t], starts[t + 1]
                 score[index_doc[s:e]] += index_weight[s:e] * np.float32(idf[t])
             score[~unused | (sizes > room)] = 0
@@ -111,7 +108,7 @@ def pack(sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], c
                     take(i)
                     box.append(i)
                     room -= int(sizes[i])
-                    if not left or room < left[0][0] or room < capacity // 3:
+                    if not left or room < left[0][0]:
                         break
         while left and room >= left[0][0]:  # the largest that fits
             k = bisect_right(left, (room, 1)) - 1

@@ -53,6 +53,16 @@ def test_neighbours_share_words():
     assert pack(np.zeros(0, int), [], [], 10, idf, 1.0) == []
 
 
+def test_neighbours_by_all_terms_until_none_fits():
+    idf = np.ones(VOCABULARY)
+    idf[:50] = 5.0
+    ones = lambda terms: [np.ones(len(t), np.int32) for t in terms]
+    light = [np.arange(100, dtype=np.int32), np.arange(50, 70, dtype=np.int32), np.arange(200, 230, dtype=np.int32)]
+    assert pack(np.array([100, 20, 30]), light, ones(light), 130, idf, 50.0)[0] == [0, 1]  # shares none of the heaviest terms
+    room = [np.arange(60, dtype=np.int32), np.arange(15, dtype=np.int32), np.arange(15, 25, dtype=np.int32), np.arange(200, 225, dtype=np.int32)]
+    assert pack(np.array([60, 15, 10, 25]), room, ones(room), 100, idf, 30.0)[0] == [0, 1, 2]  # the last third of the window too
+
+
 def test_frequencies_and_report(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a a"), (3, None)], "doc_id long, text string")
     t = token_table(df, "doc_id", "text")
