@@ -60,13 +60,7 @@ SHAPES = (
 #: Beginnings of such strings, as they stand before a cut.
 PREFIXES = r"(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abeprs]-|[sr]k_(?:live|test)_|[a-z]{2,6}_(?:pat|key|tok|sec)_|AIza|npm_|hf_|eyJ)"
 
-#: Screens lines inside Arrow; a line without any of this has no credential.
-SCREEN = (
-    r"(?:^|[^A-Za-z])[Pp]ass|[a-z0-9]Pass|PASS|(?i:passw|pwd|\bpw\b|secret|token|api.?key|apikey|credential|creds?\b|auth|bearer|(?:access|signing|private|encryption|license|master|ssh|hmac|deploy|storage).?key)"
-    r"|://[^\s/:@'\"]+:[^\s@'\"]+@|\s-u\s*\S+:|\s-p\S|\s-a\s|sshpass|redis-cli|(?i:log.?in|works with|basic )|-----BEGIN"
-    r"|AKIA|ASIA|gh[pousr]_|glpat-|xox[abeprs]-|[sr]k_(?:live|test)_|_(?:pat|tok|sec)_|AIza|eyJ|npm_|hf_"
-)
-_SHAPE = re.compile(rf"(?<![A-Za-z0-9_]){SHAPES.replace('|', '|(?<![A-Za-z0-9_])')}")
+_SHAPE = re.compile(rf"(?<![A-Za-z0-9_])(?:{SHAPES})")
 _CUT_SHAPE = re.compile(rf"""(?P<quote>['"`])(?P<value>{PREFIXES}[\w.-]*)(?P=quote)""")
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
@@ -81,9 +75,8 @@ _COMMANDS = re.compile(
     r"|\bPGPASSWORD=(?P<f>[^\s'\"`]+)"
 )
 _COMMENT = re.compile(r"^\s*(?://+|#+|/\*+|\*+|--|;+|<!--|%)\s*(.*?)\s*(?:\*/|-->)?\s*$")
-_REMARK = re.compile(
-    r"(?i)\b(?:pass(?:word|wd|phrase|code)?|pwd?|token|secret|credentials?|creds?|api.?key|key|log.?in|sign.?in|works with)\b"
-)
+_REMARK_WORDS = r"\b(?:pass(?:word|wd|phrase|code)?|pwd?|token|secret|credentials?|creds?|api.?key|key|log.?in|sign.?in|works with)\b"
+_REMARK = re.compile(f"(?i){_REMARK_WORDS}")
 _REMARK_VALUE = re.compile(r"(?i)(?:\bis|\bwas|[:=]|->|=>|\btype|\bwith|\buse|\benter|/)\s+[`'\"]?([^\s'\"`]{6,})[`'\"]?[.;,]?$|(?:\bwith|\bas|\buse)\s+[\w.-]+/([^\s'\"`]{6,})$|\bpw[:=]([^\s'\"`]{6,})$")
 #: name, an operator or a comma between key and value, then a quoted value
 _NAMED = re.compile(
@@ -108,6 +101,21 @@ _PLACEHOLDER = re.compile(
 _CALL = re.compile(r"^[A-Za-z_$][\w$.>:-]*\(.*\)$|^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$")
 _MEMBER = re.compile(r"^[A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)+(?:\(.*\)?)?;?$")
 
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_LOWER, _TITLE, _UPPER = ("|".join(map(f, SECRET_WORDS)) for f in (str.lower, str.title, str.upper))
+#: Screens lines inside Arrow, made of what each rule needs in a line; a line without any of this has no credential.
+SCREEN = "|".join(
+    (
+        rf"(?:^|[^A-Za-z])(?:{_LOWER})(?:[^a-z]|$)|(?:{_TITLE})(?:[^a-z]|$)|(?:^|[^A-Z])(?:{_UPPER})",  # words of names
+        rf"(?i:(?:{'|'.join(KEY_WORDS)})[^a-z0-9]*key)",
+        rf"{PREFIXES}|\bSG\.|-----BEGIN",
+        r"://[^\s/:@'\"<>]*:[^\s'\"]+@[A-Za-z0-9\[]",
+        r"(?i:(?:basic|bearer|token|apikey)[^a-z])",
+        rf"redis-cli|sshpass|(?:mysql|mariadb).*{_SPACE}-p|(?:curl|wget|http).*{_SPACE}(?:-u|--user)|-(?:password|passwd|pass|token|secret|api-key)|PGPASSWORD=",
+        rf"^{_SPACE}*(?://|#|/\*|\*|--|;|<!--|%).*(?i:{_REMARK_WORDS})",
+    )
+)
+
 
 def secret_name(name: str) -> bool:
     """Whether a name says that its value is a secret (and not something about one)."""
