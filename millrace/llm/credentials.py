@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import ship
 from ..operators.batches import pieces
@@ -296,7 +297,7 @@ def redact(text: str, found: list[Candidate], mask: str = "*") -> str:
 def credentials(df: DataFrame, path: str, content: str, redacted: bool = False, folder: str = TOKENIZER_DIR, vocabulary: str = TOKENIZER_FILE) -> DataFrame:
     """One row for each credential (or, with ``redacted``, each file that has one) of distinct files.
 
-    Columns: ``path``, then ``line_no, column_start, column_end, rule`` (1-based line, 0-based columns in code points), or
+    path: the file's key, of any type. Columns: ``path``, then ``line_no, column_start, column_end, rule`` (1-based line, 0-based columns in code points), or
     ``n_credentials`` and the redacted ``content``. Rows with null content give nothing; empty and very long texts are
     taken whole; rows that repeat a file are read once in each task, and the few rows left of each task are made distinct
     by a shuffle of positions, not of texts. Other columns are ignored.
@@ -306,10 +307,10 @@ def credentials(df: DataFrame, path: str, content: str, redacted: bool = False,
     fields = [T.StructField(path, path_type)]
     if redacted:
         fields += [T.StructField("n_credentials", T.IntegerType()), T.StructField(content, T.StringType())]
-        arrow = pa.schema([(path, pa.string()), ("n_credentials", pa.int32()), (content, pa.string())])
+        arrow = pa.schema([(path, to_arrow_type(path_type)), ("n_credentials", pa.int32()), (content, pa.string())])
     else:
         fields += [T.StructField(n, T.IntegerType()) for n in ("line_no", "column_start", "column_end")] + [T.StructField("rule", T.StringType())]
-        arrow = pa.schema([(path, pa.string()), ("line_no", pa.int32()), ("column_start", pa.int32()), ("column_end", pa.int32()), ("rule", pa.string())])
+        arrow = pa.schema([(path, to_arrow_type(path_type)), ("line_no", pa.int32()), ("column_start", pa.int32()), ("column_end", pa.int32()), ("rule", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()

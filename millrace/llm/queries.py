@@ -61,6 +61,14 @@ def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.credentials(_files(spark, sf), "file_path", "file_content", redacted=True)
 
 
+def p5_focal_credentials(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.credentials(_files(spark, sf), "record_id", "focal_code")
+
+
+def p5_focal_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.credentials(_files(spark, sf), "record_id", "focal_code", redacted=True)
+
+
 def _containers(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, int]]:
     limits = {name: most for name, _, most, _ in _limits(spark, sf, "tokens", "container")}
     return packing.containers(table(spark, sf, "documents"), "doc_id", "text", limits), limits
@@ -91,7 +99,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_files, p3_found, p3_pieces, p4_found, p4_defects, p5_found, p5_credentials, p5_redacted, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_canonical)
+    own = (p1_found, p1_files, p3_found, p3_pieces, p4_found, p4_defects, p5_found, p5_credentials, p5_redacted, p5_focal_credentials, p5_focal_redacted, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_canonical)
     return {q.__name__: q for q in own}
 
 
