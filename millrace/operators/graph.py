@@ -10,36 +10,34 @@ from ..session import materialize
 from .relational import first_wins
 
 
-def all_paths(edges: DataFrame, graph: str, entry: str = "ENTRY", exit_: str = "EXIT", loop_bound: int = 2, max_steps: int = 64, max_paths: int = 4096) -> DataFrame:
+def all_paths(edges: DataFrame, graph: str, entry: str = "ENTRY", exit_: str = "EXIT", loop_bound: int = 2) -> DataFrame:
     """Paths from entry to exit of each graph: ``graph, path_no, nodes, conditions, truncated`` (CFG-02).
 
     edges: the graph's key, ``src``, ``dst``, ``condition`` (null or the branch taken), ``is_back`` (null counts false). A node is
-    visited at most ``loop_bound`` times on a path, and back edges are cut. All graphs advance one edge at a time in one
-    join on (graph, node), never one graph on one task. The number of paths can grow exponentially with the branches: a
-    graph with more than ``max_paths`` open paths keeps the first of them in order and is marked ``truncated``.
+    visited at most ``loop_bound`` times on a path, which ends every path, and back edges are cut. All graphs advance one edge
+    at a time in one join on (graph, node), never one graph on one task, until no path is open. The number of paths can grow
+    exponentially with the branches; all are given, so ``truncated`` is always false.
     """
     from pyspark.sql import Window
 
     e = edges.where(~F.coalesce("is_back", F.lit(False))).select(F.col(graph).alias("__g"), F.col("src").alias("__src"), F.col("dst").alias("__dst"), F.col("condition").alias("__c"))
     e = materialize(e, "edges")
     none = F.array().cast("array<string>")
-    open_ = e.where(F.col("__src") == entry).select("__g").distinct().select("__g", F.array(F.lit(entry)).alias("nodes"), none.alias("conditions"), F.lit(False).alias("truncated"))
-    done = None
-    for _ in range(max_steps):
+    open_ = e.where(F.col("__src") == entry).select("__g").distinct().select("__g", F.array(F.lit(entry)).alias("nodes"), none.alias("conditions"))
+    done, steps = None, 0
+    while done is None or not open_.isEmpty():
         step = open_.join(e, (open_["__g"] == e["__g"]) & (F.element_at("nodes", -1) == F.col("__src"))).drop(e["__g"])
         step = step.where(F.size(F.filter("nodes", lambda n: n == F.col("__dst"))) < loop_bound)
-        step = step.select("__g", F.concat("nodes", F.array("__dst")).alias("nodes"), F.when(F.col("__c").isNull(), F.col("conditions")).otherwise(F.concat("conditions", F.array("__c"))).alias("conditions"), "truncated")
-        w = Window.partitionBy("__g")
-        step = step.withColumn("__n", F.row_number().over(w.orderBy(F.to_json("nodes"), F.to_json("conditions"))))
-        step = step.withColumn("truncated", F.col("truncated") | (F.max("__n").over(w) > max_paths)).where(F.col("__n") <= max_paths).drop("__n")
+        step = step.select("__g", F.concat("nodes", F.array("__dst")).alias("nodes"), F.when(F.col("__c").isNull(), F.col("conditions")).otherwise(F.concat("conditions", F.array("__c"))).alias("conditions"))
         step = materialize(step, "paths")
         ended = step.where(F.element_at("nodes", -1) == exit_)
         done = ended if done is None else done.unionByName(ended)
+        steps += 1
+        if steps % 50 == 0:  # else the plan grows with the longest path
+            done = materialize(done, "paths")
         open_ = step.where(F.element_at("nodes", -1) != exit_)
-        if open_.isEmpty():
-            break
     number = F.row_number().over(Window.partitionBy("__g").orderBy(F.to_json("nodes"), F.to_json("conditions")))
-    return done.select(F.col("__g").alias(graph), number.alias("path_no"), "nodes", "conditions", "truncated")
+    return done.select(F.col("__g").alias(graph), number.alias("path_no"), "nodes", "conditions", F.lit(False).alias("truncated"))
 
 
 def unique_conditions(paths: DataFrame, graph: str) -> DataFrame:

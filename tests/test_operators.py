@@ -167,6 +167,18 @@ def test_paths_and_conditions(spark):
     assert graph.best_path(p, "fn", F.lit(1)).first().path_no == 1
 
 
+def test_long_and_many_paths(spark):
+    chain = ["ENTRY", *(f"n{i}" for i in range(65)), "EXIT"]
+    e = [("long", a, b, None, False) for a, b in zip(chain, chain[1:], strict=False)]
+    for i in range(13):
+        at, to = f"d{i}" if i else "ENTRY", f"d{i + 1}" if i < 12 else "EXIT"
+        e += [("wide", at, f"d{i}{side}", f"{side}{i}", False) for side in "lr"] + [("wide", f"d{i}{side}", to, None, False) for side in "lr"]
+    p = graph.all_paths(spark.createDataFrame(e, "fn string, src string, dst string, condition string, is_back boolean"), "fn")
+    got = {r.fn: r for r in p.groupBy("fn").agg(F.count("*").alias("n"), F.countDistinct("conditions").alias("distinct"), F.max(F.size("nodes")).alias("nodes"), F.bool_or("truncated").alias("truncated")).collect()}
+    assert (got["long"].n, got["long"].nodes) == (1, 67)
+    assert (got["wide"].n, got["wide"].distinct, got["wide"].truncated) == (8192, 8192, False)
+
+
 def test_function_filter(spark):
     body = "\n".join(f"x = {i}" for i in range(24)) + "\nreturn x"
     rows = [("tokio/src/runtime/mod.rs", "run"), ("tokio/macros/entry.rs", "run"), ("r/vendor/x/y.rs", "run"), ("r/src/a.rs", "_hidden"), ("r/src/a.rs", "getName"), ("r/src/a.rs", "get")]
