@@ -78,7 +78,6 @@ def retrieval_prompt(chunks: DataFrame, query: str, order: list[str], target: st
     return listed.select(query, F.concat(F.array_join(parts, "\n\n"), F.lit("\n\n# Target\n"), F.coalesce("__target", F.lit(""))).alias("prompt"))
 
 
-def repair_prompt(prompt: Column, test: Column, log: Column, most: int = 2000) -> Column:
-    """A request to repair a failing test (PRM-06), with the last ``most`` characters of its log."""
-    tail = F.when(F.length(log) > most, F.substring(log, -most, most)).otherwise(F.coalesce(log, F.lit("")))
-    return F.concat(prompt, F.lit("\n\nThe test below fails. Return a corrected test.\n\n#TEST\n"), F.coalesce(test, F.lit("")), F.lit("\n#END_TEST\n\n#LOG\n"), tail, F.lit("\n#END_LOG\n"))
+def repair_prompt(prompt: Column, test: Column, log: Column) -> Column:
+    """A request to repair a failing test (PRM-06), with its whole log."""
+    return F.concat(prompt, F.lit("\n\nThe test below fails. Return a corrected test.\n\n#TEST\n"), F.coalesce(test, F.lit("")), F.lit("\n#END_TEST\n\n#LOG\n"), F.coalesce(log, F.lit("")), F.lit("\n#END_LOG\n"))

@@ -272,7 +272,7 @@ def retrieval_prompt(spark: SparkSession, sf: str) -> DataFrame:
     SELECT result_id, position, md5('P' || chr(10) || chr(10) || 'The test below fails. Return a corrected test.' || chr(10) || chr(10) || '#TEST' || chr(10) || coalesce(t, '') || chr(10) || '#END_TEST' || chr(10) || chr(10) || '#LOG' || chr(10) ||
         CASE WHEN length(l) > 60 THEN right(l, 60) ELSE coalesce(l, '') END || chr(10) || '#END_LOG' || chr(10)) AS prompt_md5 FROM p""")
 def repair_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    return _padded(spark, sf).select("result_id", "position", F.md5(prompts.repair_prompt(F.lit("P"), F.col("test_code"), F.col("log"), 60)).alias("prompt_md5"))
+    return _padded(spark, sf).select("result_id", "position", F.md5(prompts.repair_prompt(F.lit("P"), F.col("test_code"), F.col("log"))).alias("prompt_md5"))
 
 
 @query("""WITH t AS (SELECT DISTINCT task_id FROM function_metadata WHERE task_id IS NOT NULL), r AS (SELECT task_id, row_number() OVER (ORDER BY md5('11:' || CAST(task_id AS VARCHAR)), task_id) AS n FROM t) SELECT task_id FROM r WHERE n <= 50""")

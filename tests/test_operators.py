@@ -189,6 +189,13 @@ def test_function_filter(spark):
     assert crawling.keep_functions(df, "p", "n", "c", "l", rules, {"TOKIO": crawling.FilterRules()}).count() == 3
 
 
+def test_repair_prompt_has_the_whole_log(spark):
+    log = "first error\n" + "x" * 3000
+    df = spark.createDataFrame([(1, log), (2, None)], "i int, log string")
+    got = {r.i: r.p for r in df.select("i", prompts.repair_prompt(F.lit("P"), F.lit("t"), F.col("log")).alias("p")).collect()}
+    assert got[1].endswith(f"#LOG\n{log}\n#END_LOG\n") and got[2].endswith("#LOG\n\n#END_LOG\n")
+
+
 def test_prompts(spark):
     df = spark.createDataFrame([("go", "f"), ("zig", "g")], "language string, code string")
     t = spark.createDataFrame([("go", "Go: {code}")], "language string, template string")
