@@ -139,7 +139,7 @@ def describe(text: str) -> tuple[list[float], int]:
             literal += len(s)
         elif len(s) > 40:
             literal += sum(m.end() - m.start() for m in _ENCODED.finditer(s))
-        patterns[_MASK.sub("w", stripped) if len(stripped) < 400 else stripped[:40]] += 1
+        patterns[hash(_MASK.sub("w", stripped))] += 1
     coded = sum(patterns.values()) or 1
     chars = sum(lengths) or 1
     return [

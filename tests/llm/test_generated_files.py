@@ -85,3 +85,12 @@ def test_without_labels_or_rows(spark):
     df = spark.createDataFrame([("a/src/x.go", BODY), ("b/vendor/k/x.go", BODY + "x")], "file_path string, file_content string")
     assert [(r.file_path, r.reason) for r in not_handwritten(df, "file_path", "file_content").collect()] == [("b/vendor/k/x.go", "vendored")]
     assert not_handwritten(df.limit(0), "file_path", "file_content").count() == 0
+
+
+def test_long_lines_are_masked_whole():
+    share, variety = FEATURES.index("pattern_share"), FEATURES.index("pattern_variety")
+    rows, _ = describe("".join(f"{{{', '.join(str(i * k + 7) for k in range(150))}}},\n" for i in range(100, 104)))
+    assert (rows[share], rows[variety]) == (1.0, 0.25)
+    start = "call(a, b, c, d, e, f, g, h, i, j, k, l, m) "
+    apart, _ = describe("".join(start + op * 400 + "\n" for op in "+-*/"))
+    assert (apart[share], apart[variety]) == (0.0, 1.0)
