@@ -1,24 +1,26 @@
 """Broken prompt-response pairs: empty, truncated, refusing, copying answers, and answers in another language.
 
-Evidence from the whole corpus comes first. The distinct responses are sorted by text; a response that its neighbour
-begins with is a shortened version of it. The lengths of each model's responses are counted; a length at which far more
-responses end than at those around it is a limit. Both only mark candidates: an answer is called truncated where its
-test code isn't complete (a quote, bracket or block left open, or code that stops before the first test ends), so
-that the rules for copies, refusals and languages apply to the rest.
+Evidence from the whole corpus comes first. The distinct responses are sorted by text; a response that a neighbour
+begins with, where the neighbour's test code goes on, is a shortened version of it. The lengths of each model's responses are
+counted; a length at which far more responses end than at those around it is a limit. An open answer (its fence isn't
+closed) with such a mark is truncated, whatever its code looks like. Most cut answers have no longer version in the
+table; of these the code tells (a quote, bracket or block left open, or an end before the first test). Rules for
+copies, refusals and languages apply to the rest.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, ship
+from ..session import ship
 from ..operators.batches import pieces
 
 # ---------------------------------------------------------------------------------------------------------------- text
@@ -153,8 +155,8 @@ def test_language(code: str) -> str | None:
 _C_TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|/\*|\"(?:\\.|[^\"\\])*\"|`[^`]*`|'(?:\\.|[^'\\\n])*'|[\"'`{}()\[\]]", re.S)
 _RUST_TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|/\*|\"(?:\\.|[^\"\\])*\"|'(?:\\[^']+|[^'\\])'|[\"{}()\[\]]", re.S)
 _PHP_TOKEN = re.compile(r"//[^\n]*|#(?!\[)[^\n]*|/\*.*?\*/|/\*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[\"'{}()\[\]]", re.S)
-_RUBY_TOKEN = re.compile(r"(?<![\w&])#[^\n{]*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[\"'{}()\[\]]|\bdo\b|(?<![.\w:@$])end\b(?![?!:])|^[ \t]*(?:def|class|module|if|unless|case|while|until|begin|for)\b(?![?!:=])", re.M | re.S)
-_JULIA_TOKEN = re.compile(r"#=.*?=#|#[^\n]*|\"\"\".*?\"\"\"|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|[\"{}()\[\]]|(?<![.\w:@!])(?:begin|function|if|for|while|let|try|struct|module|do|quote|macro|end)\b(?![!?])", re.S)
+_RUBY_TOKEN = re.compile(r"(?<![\w&])#[^\n{]*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[\"'{}()\[\]]|\bdo\b(?!\()|(?<![.\w:@$])end\b(?![?!:(])|^[ \t]*(?:def|class|module|if|unless|case|while|until|begin|for)\b(?![?!:=])", re.M | re.S)
+_JULIA_TOKEN = re.compile(r"#=.*?=#|#[^\n]*|\"\"\".*?\"\"\"|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|[\"{}()\[\]]|(?<![.\w:@!])(?:begin|function|if|for|while|let|try|struct|module|do(?!\()|quote|macro|end(?!\())\b(?![!?])", re.S)
 _TOKENS = {"go": _C_TOKEN, "rust": _RUST_TOKEN, "php": _PHP_TOKEN, "ruby": _RUBY_TOKEN, "julia": _JULIA_TOKEN}
 _CLOSE = {")": "(", "]": "[", "}": "{"}
 
@@ -225,41 +227,46 @@ def asked_language(prompt: str, language: str | None) -> str | None:
     return LANGUAGES.get((language or "").strip().lower())
 
 
-def defect(prompt: str | None, response: str | None, language: str | None, cut: bool = False) -> str | None:
-    """Defect of one pair, or None. cut: the corpus shows a longer version of the response, or its length is a limit."""
+_FINISHED = re.compile(r"(?:[}\])\"'`.!?:;…]|\bend)$")
+
+
+def verdicts(prompt: str | None, response: str | None, language: str | None) -> tuple[str | None, str | None, str | None]:
+    """Defects of one pair: by itself, if a longer version continues its test code, and if it ends at a length limit."""
     text = visible(response)
     bare = re.sub(r"^[ \t]*(?:`{3,}|~{3,})[^\n`]*$", "", text, flags=re.M).strip() if "```" in text or "~~~" in text else text
     bare = re.sub(r"^`{3,}\w*\s*`{3,}$", "", bare)
     if not bare or len(bare) <= 60 and _FILLER.match(bare):
-        return "empty"
+        return ("empty",) * 3
     if "\n" not in text and _TRANSPORT.match(text) and not _REFUSAL.search(text):
-        return "empty"
+        return ("empty",) * 3
     prompt = visible(prompt)
     fenced, prose = blocks(text)
     if not fenced:
         m = _CODE_START.search(text)
         if m and (test_language(text[m.start() :]) or text.startswith(_CODE_PREFIXES)):
             prose, fenced = text[: m.start()], [("", text[m.start() :], False)]
-    tests = [(tag, code, closed, lang) for tag, code, closed in fenced if (lang := test_language(code))]
-    if not tests:
-        if prompt and copies(text, prompt):
-            return "copied"
-        if _REFUSAL.search(prose if prose.strip() else text):
-            return "refusal"
-    own, theirs = human_language(prose), human_language(_instruction(prompt)) if prompt else None
-    foreign = own is not None and theirs is not None and own != theirs
-    if not tests:
-        if foreign:
-            return "wrong_language"
-        return "truncated"  # it breaks off before any test
+    open_ = not fenced or not fenced[-1][2]
+    tests = [(code, lang) for _, code, _ in fenced if (lang := test_language(code))]
+    if not tests and prompt and copies(text, prompt):
+        return ("copied",) * 3
+    if not tests and _REFUSAL.search(prose if prose.strip() else text):
+        return "refusal", "truncated" if fenced and open_ else "refusal", "refusal"
     asked = asked_language(prompt, language)
-    if asked and all(lang != asked for *_, lang in tests):
-        return "wrong_language"
-    if any(not complete(code, lang) for _, code, _, lang in tests):
-        return "truncated"
-    if foreign:
-        return "wrong_language"
-    return None
+    if tests and asked and all(lang != asked for _, lang in tests):
+        return ("wrong_language",) * 3
+    own, theirs = human_language(prose), human_language(_instruction(prompt)) if prompt else None
+    foreign = "wrong_language" if own is not None and theirs is not None and own != theirs else None
+    if not tests:  # it breaks off before any test
+        return foreign or "truncated", "truncated", "truncated"
+    if any(not complete(code, lang) for code, lang in tests):
+        return ("truncated",) * 3
+    return foreign, "truncated" if open_ else foreign, "truncated" if open_ and not _FINISHED.search(text) else foreign
+
+
+def defect(prompt: str | None, response: str | None, language: str | None, continued: bool = False, limited: bool = False) -> str | None:
+    """Defect of one pair, or None. continued, limited: the marks of the corpus, see ``verdicts``."""
+    plain, grown, ended = verdicts(prompt, response, language)
+    return grown if continued and grown else ended if limited and ended else plain
 
 
 def _instruction(prompt: str) -> str:
@@ -272,58 +279,98 @@ def _instruction(prompt: str) -> str:
 
 #: A shortened version has at least this many characters (fewer are the start of anything).
 LEAST_PREFIX = 40
+#: What a cut leaves at the end of a text.
+TAIL = " \t\r\n.…"
+#: Ranges of the sort for each shuffle partition, texts sampled for each range, and most characters of a range's bound.
+RANGES, RANGE_SAMPLE, BOUND_CHARS = 4, 10, 20_000
+#: Hashes that a task remembers to drop repeated texts early; what is left of the repetition meets in the sort.
+REMEMBERED = 200_000
+
+
+def core(text: str | Column) -> Column:
+    """The text without what a cut leaves at its end."""
+    return F.rtrim(text, F.lit(TAIL))
+
+
+def _goes_on(text: str, at: int) -> bool:
+    """Whether the text has test code after ``at``, on the line cut there or before a fence closes."""
+    end = text.find("\n```", at)
+    end = len(text) if end < 0 else end
+    start = at if text[at : at + 1] in ("\r", "\n") else text.rfind("\n", 0, at) + 1
+    rest = text[start:end]
+    return bool(text[at:end].strip()) and any(p.search(rest) for p in (*_TESTS.values(), *_BEGUN.values()))
+
+
+def continuations(rows: Iterator[tuple[int, int, str]]) -> Iterator[int]:
+    """Hashes of the texts that a later text begins with and goes on testing; rows (range, hash, text) in sorted order.
+
+    In sorted order all longer versions of a text follow it at once, so the texts that the current one begins with are
+    a stack: those that share no whole prefix with the next text are popped.
+    """
+    stack: list[list] = []  # length and hash of each text that the previous one begins with, and whether it is told
+    before, before_range, before_hash = "", None, None
+    for part, h, text in rows:
+        if part != before_range:
+            stack = []
+        elif h == before_hash:
+            continue
+        while stack and not text.startswith(before[: stack[-1][0]]):
+            stack.pop()
+        for entry in stack:
+            if not entry[2] and _goes_on(text, entry[0]):
+                entry[2] = True
+                yield entry[1]
+        stack.append([len(text), h, False])
+        before, before_range, before_hash = text, part, h
 
 
 def shortened(df: DataFrame, text: str) -> DataFrame:
-    """Hashes (``text_hash``) of texts that are a proper prefix of another text of the table.
+    """Hashes (``core_hash``) of the texts, without ``TAIL``, whose test code a longer text of the table continues.
 
-    Each task first drops its repeated texts, so that a text that a third of all rows have is not moved with each row; the
-    distinct texts are then range-partitioned and sorted. In sorted order all extensions of a text follow it at once, so the
-    neighbour decides. The last text of a partition is compared with the first one of the next by joining one small row
-    a partition. Null texts and texts under ``LEAST_PREFIX`` characters are in no pair.
+    Each task first drops its repeated texts, so that a text that a third of all rows have is not moved with each row. The
+    distinct texts are put into ranges whose bounds come from a sample of ``RANGE_SAMPLE`` texts a range (it sets where
+    ranges begin, nothing else), then sorted by (range, text). A text that a bound begins with goes into the ranges after
+    that bound, too, so every text meets all its longer versions, wherever they lie. Null texts and texts under
+    ``LEAST_PREFIX`` characters are in no pair.
     """
     ship(df.sparkSession)
     spark = df.sparkSession
+    texts = df.select(core(text).alias("__core")).where(F.length("__core") >= LEAST_PREFIX).select(F.xxhash64("__core").alias("core_hash"), "__core")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    step = max(1, texts.count() // (RANGES * n * RANGE_SAMPLE))
+    sample = sorted({r[0] for r in texts.where(F.pmod("core_hash", F.lit(step)) == 0).select(F.substring("__core", 1, BOUND_CHARS)).distinct().toLocalIterator()})
+    bounds = sample[RANGE_SAMPLE::RANGE_SAMPLE]
+    arrow = pa.schema([("range", pa.int32()), ("core_hash", pa.int64()), ("__core", pa.string())])
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keep = []
-            for i, h in enumerate(batch.column(0).to_pylist()):
-                if h not in seen:
-                    seen.add(h)
+            ranges, keep = [], []
+            for i, (h, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if h in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(h)
+                at = bisect_right(bounds, t)
+                ranges.append(at)
+                keep.append(i)
+                while at < len(bounds) and bounds[at].startswith(t):
+                    at += 1
+                    ranges.append(at)
                     keep.append(i)
             if keep:
-                yield batch.take(pa.array(keep))
-
-    arrow = pa.schema([("text_hash", pa.int64()), ("shorter", pa.bool_()), ("part", pa.int32()), ("first_text", pa.string()), ("last_text", pa.string())])
+                rows = batch.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), rows.column(0), rows.column(1)], schema=arrow)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = last_hash = None
-        for batch in batches:
-            out = []
-            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if first is None:
-                    first = t
-                elif h != last_hash and t.startswith(last) and t != last:
-                    out.append(last_hash)
-                last, last_hash = t, h
-            if out:
-                n = len(out)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array([True] * n), pa.array([None] * n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], schema=arrow)
-        if first is not None:
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array([last_hash], pa.int64()), pa.array([False]), pa.array([part], pa.int32()), pa.array([first]), pa.array([last])], schema=arrow)
-
-    texts = df.where(F.length(text) >= LEAST_PREFIX).select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("__text"))
-    texts = texts.mapInArrow(distinct, texts.schema)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = T.StructType([T.StructField("text_hash", T.LongType()), T.StructField("shorter", T.BooleanType()), T.StructField("part", T.IntegerType()), T.StructField("first_text", T.StringType()), T.StructField("last_text", T.StringType())])
-    marks = materialize(texts.repartitionByRange(n, "__text").sortWithinPartitions("__text").mapInArrow(neighbours, schema), "neighbours")
-    edges = marks.where("part IS NOT NULL")
-    following = edges.select("text_hash", "last_text", F.lead("first_text").over(Window.orderBy("part")).alias("next_text"))  # a row for each partition
-    across = following.where(F.col("next_text").startswith(F.col("last_text")) & (F.col("next_text") != F.col("last_text")))
-    return marks.where("shorter").select("text_hash").union(across.select("text_hash")).distinct()
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        found = continuations(rows)
+        while out := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["core_hash"])
+
+    routed = texts.mapInArrow(ranged, "range int, core_hash bigint, __core string")
+    return routed.repartition(n, "range").sortWithinPartitions("range", "__core").mapInArrow(neighbours, "core_hash bigint").distinct()
 
 
 def length_limits(df: DataFrame, text: str, group: str, least: int = 20, times: float = 6.0) -> DataFrame:
@@ -338,30 +385,41 @@ def length_limits(df: DataFrame, text: str, group: str, least: int = 20, times:
 
 
 def pair_defects(df: DataFrame, key: str, prompt: str, response: str, language: str, model: str) -> DataFrame:
-    """Defective pairs: ``key, defect``; at most one row for each row of ``df``, in this order of precedence: ``empty``,
-    ``copied`` or ``refusal`` (without test code), ``wrong_language`` or ``truncated``.
+    """Defective pairs: ``key, defect, evidence``; at most one row for each row of ``df``, in this order of precedence:
+    ``empty``, ``copied`` or ``refusal`` (without test code), ``wrong_language`` or ``truncated``. ``evidence`` is
+    ``longer_version`` or ``length_limit`` where a mark of the corpus decided, else ``text``.
 
     A null response is empty; a null prompt can't be copied or tell a language, then that of the record holds; rows that
     repeat a pair are each judged; texts are taken whole; other columns are ignored; an empty table gives an empty one.
 
-    Shuffled are the distinct responses once (for the sort), the keys of shortened responses, and a histogram of lengths.
-    Rows are judged in one narrow pass; marks come by a join on salted hashes, so that one response that a third of all
-    rows have is spread over 16 tasks.
+    Shuffled are the distinct responses once (for the sort), a histogram of lengths, and small rows of numbers: texts are
+    judged in one narrow pass, for each mark that may come, and the marks then pick. They come by joins on salted hashes, so
+    that one response that a third of all rows have is spread over 16 tasks.
     """
     ship(df.sparkSession)
     salts = 16
-    rows = df.select(F.col(key), F.col(prompt).alias("__prompt"), F.col(response).alias("__response"), F.col(language).cast("string").alias("__language"), F.col(model).cast("string").alias("__model"))
-    light = rows.select(key, F.xxhash64("__response").alias("text_hash"), F.length("__response").alias("length"), F.col("__model").alias("group"), F.pmod(F.hash(key), F.lit(salts)).alias("salt")).where("length >= 1")
-    short = shortened(rows, "__response").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    limits = length_limits(rows, "__response", "__model").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    cut = light.join(short, ["text_hash", "salt"], "left_semi").select(key).union(light.join(limits, ["group", "length", "salt"], "left_semi").select(key)).distinct().withColumn("__cut", F.lit(True))
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("defect", T.StringType())])
+    marks = df.select(F.col(response).alias("__response"), F.coalesce(F.col(model).cast("string"), F.lit("")).alias("__model"))
+    all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    short = shortened(marks, "__response").select("core_hash", all_salts.alias("salt"), F.lit(True).alias("continued"))
+    limits = length_limits(marks, "__response", "__model").select("group", "length", all_salts.alias("salt"), F.lit(True).alias("limited"))
+    rows = df.select(
+        F.col(key), F.col(prompt).alias("__prompt"), F.col(response).alias("__response"), F.col(language).cast("string").alias("__language"),
+        F.coalesce(F.col(model).cast("string"), F.lit("")).alias("group"), F.length(response).alias("length"), F.xxhash64(core(response)).alias("core_hash"),
+    )
+    kept = [df.schema[key], T.StructField("group", T.StringType()), T.StructField("length", T.IntegerType()), T.StructField("core_hash", T.LongType())]
+    found = ["plain", "grown", "ended"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 2):
-                found = [defect(p, r, lang) for p, r, lang in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string())], names=[key, "defect"])
-
-    judged = rows.mapInArrow(judge, schema).where("defect IS NOT NULL")
-    return judged.join(cut, key, "left").select(key, "defect", F.coalesce("__cut", F.lit(False)).alias("shortened"))
+                out = [verdicts(p, r, lang) for p, r, lang in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+                some = pa.array([i for i, v in enumerate(out) if any(v)], pa.int64())
+                columns = [part.column(i).take(some) for i in (0, 4, 5, 6)] + [pa.array([out[i][k] for i in some.to_pylist()], pa.string()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "group", "length", "core_hash", *found])
+
+    judged = rows.mapInArrow(judge, T.StructType(kept + [T.StructField(name, T.StringType()) for name in found]))
+    judged = judged.withColumn("salt", F.pmod(F.hash(key), F.lit(salts)))
+    judged = judged.join(short, ["core_hash", "salt"], "left").join(limits, ["group", "length", "salt"], "left")
+    grown, ended = F.when(F.col("continued"), F.col("grown")), F.when(F.col("limited"), F.col("ended"))
+    evidence = F.when(grown == "truncated", "longer_version").when((ended == "truncated") & (F.coalesce("plain", F.lit("")) != "truncated"), "length_limit").otherwise("text")
+    return judged.select(key, F.coalesce(grown, ended, "plain").alias("defect"), evidence.alias("evidence")).where("defect IS NOT NULL")

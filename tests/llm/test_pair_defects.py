@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm.pair_defects import blocks, complete, defect, human_language, length_limits, pair_defects, shortened
+from millrace.llm.pair_defects import blocks, complete, core, defect, human_language, length_limits, pair_defects, shortened
 
 PROMPT = "Write unit tests in Go for the function `addAll` below.\n\nContext:\nThe parser reads the config again.\n\n```go\nfunc addAll(a int, b int) int {\n\treturn a + b\n}\n```"
 GO = 'package x\n\nimport "testing"\n\nfunc TestAddAll(t *testing.T) {\n\tif got := addAll(1, 2); got != 3 {\n\t\tt.Fatalf("got %d", got)\n\t}\n}\n'
@@ -50,19 +50,49 @@ def test_languages():
     assert blocks("a\n```go\nx\n```\nb")[0] == [("go", "x\n", True)]
 
 
+def test_a_name_that_is_a_keyword():
+    assert complete('using Test\n\n@testset "do" begin\n    @test do(1, 2) == 3\nend\n', "julia")
+    assert complete("RSpec.describe 'do' do\n  it 'adds' do\n    expect(do(1, 2)).to eq(3)\n  end\nend\n", "ruby")
+
+
+TWO = GO + "\nfunc TestMore(t *testing.T) {\n\tif addAll(2, 2) != 4 {\n\t\tt.Error()\n\t}\n}\n"
+
+
+def test_marks_decide():
+    cut_between_tests = "```go\n" + GO
+    assert [defect(PROMPT, cut_between_tests, "go", continued=c) for c in (False, True)] == [None, "truncated"]
+    assert [defect(PROMPT, fenced(GO), "go", continued=c) for c in (False, True)] == [None, None]  # its fence is closed
+    trailing = GO + "\n// and the next case is ab"
+    assert [defect(PROMPT, trailing, "go", limited=c) for c in (False, True)] == [None, "truncated"]
+    assert defect(PROMPT, GO, "go", limited=True) is None
+    assert defect(PROMPT, PROMPT.split("\n")[0], "go", continued=True) == "copied"
+
+
 def test_shortened_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     base = ["".join(rng.choice(list("ab"), 60)) for _ in range(20)]
-    texts = base + [b + c for b in base[:8] for c in ("x", "xy", "z" * 50)] + [base[0]] * 40 + [None, ""]
+    code, prose = "\n@test f(1) == 2", "\nmore prose"
+    texts = base + [b + c for b in base[:8] for c in (code, code * 2, prose, prose + code, "c" * 50, "\n```" + code, "...")] + [base[0]] * 40 + [None, ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
-    want = {t for t in texts if t and len(t) >= 40 and any(u != t and u.startswith(t) for u in texts if u)}
+    cores = {t.rstrip(" \t\r\n.…") for t in texts if t}
+    want = {t for t in cores if len(t) >= 40 and any(u != t and u.startswith(t) and "@test" in u[len(t) :].split("\n```")[0] for u in cores)}
+    assert len(want) == 8 * 3
     for n in (1, 4, 7):
         spark.conf.set("spark.sql.shuffle.partitions", str(n))
         hashes = shortened(df.repartition(3), "t")
-        assert {r.t for r in df.join(hashes, F.xxhash64("t") == F.col("text_hash")).collect()} == want
+        assert {r.c for r in df.select(core("t").alias("c")).join(hashes, F.xxhash64("c") == F.col("core_hash")).collect()} == want
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_longer_versions_in_other_ranges(spark):
+    """One text whose longer versions fill all ranges of the sort."""
+    start = "using Test\n\n# numbers of the long table below\n"
+    rows = [(i, start + f"# {i:05d}\n@test f({i}) == 1") for i in range(3000)] + [(-1, start.strip())]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = shortened(df.repartition(3), "t")
+    assert df.where("id = -1").join(got, F.xxhash64(core("t")) == F.col("core_hash")).count() == 1 and got.count() == 1
+
+
 def test_limits(spark):
     rows = [("m", "x" * n) for n in range(100, 200)] + [("m", "y" * 150)] * 40 + [("k", "z" * 150)] * 5
     got = length_limits(spark.createDataFrame(rows, "model string, t string"), "t", "model").collect()
@@ -70,8 +100,15 @@ def test_limits(spark):
 
 
 def test_rows(spark):
-    rows = [(1, PROMPT, GO, "go", "m", "x"), (2, PROMPT, GO[:-30], "go", "m", "x"), (3, PROMPT, None, "go", "m", "x"), (4, PROMPT, GO[:-30], "go", "m", "x"), (5, None, None, None, None, None), (6, PROMPT, GO + "// end\n" * 50_000, "go", "m", "x")]
+    between = "```go\n" + GO
+    rows = [
+        (1, PROMPT, GO, "go", "m", "x"), (2, PROMPT, GO[:-30], "go", "m", "x"), (3, PROMPT, None, "go", "m", "x"), (4, PROMPT, GO[:-30], "go", "m", "x"), (5, None, None, None, None, None),
+        (6, PROMPT, GO + "// end\n" * 50_000, "go", "m", "x"), (7, PROMPT, between, "go", "m", "x"), (8, PROMPT, "```go\n" + TWO + "```", "go", None, "x"), (8, PROMPT, between, "go", None, "x"),
+    ]
     df = spark.createDataFrame(rows, "response_id long, prompt string, response string, language string, model string, defect string")
-    got = {r.response_id: (r.defect, r.shortened) for r in pair_defects(df, "response_id", "prompt", "response", "language", "model").collect()}
-    assert got == {2: ("truncated", True), 3: ("empty", False), 4: ("truncated", True), 5: ("empty", False)}
-    assert pair_defects(df.limit(0), "response_id", "prompt", "response", "language", "model").count() == 0
+    args = ("response_id", "prompt", "response", "language", "model")
+    got = sorted(tuple(r) for r in pair_defects(df, *args).collect())
+    assert got == [(2, "truncated", "longer_version"), (3, "empty", "text"), (4, "truncated", "longer_version"), (5, "empty", "text"), (7, "truncated", "longer_version"), (8, "truncated", "longer_version")]
+    alone = df.where("response_id <> 8 OR NOT endswith(response, '```')")  # without the longer version the mark is gone, and so is the answer
+    assert {r.response_id for r in pair_defects(alone, *args).collect()} == {2, 3, 4, 5}
+    assert pair_defects(df.limit(0), *args).count() == 0
