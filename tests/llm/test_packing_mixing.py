@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm.mixing import mixture, quotas, shares, source_name
-from millrace.llm.packing import containers, document_frequencies, fill_report, pack, token_table
+from millrace.llm.packing import containers, document_frequencies, fill, fill_report, neighbours, token_table
 from millrace.llm.tokens import VOCABULARY, chars_per_token, encode
 
 
@@ -20,8 +20,8 @@ def docs(spark, n=400, seed=5):
 def test_every_document_once_and_whole(spark):
     df = docs(spark)
     size = {r.doc_id: len(encode([r.text or ""])[0]) for r in df.collect()}
-    for shard_tokens in (10**6, 3000):
-        got = containers(df, "doc_id", "text", {"small": 256, "big": 2048}, shard_tokens=shard_tokens).collect()
+    for index_tokens in (10**6, 3000):
+        got = containers(df, "doc_id", "text", {"small": 256, "big": 2048}, index_tokens=index_tokens, query_rows=50).collect()
         for name, capacity in (("small", 256), ("big", 2048)):
             own = [r for r in got if r.limit_name == name]
             fill, parts = {}, {}
@@ -42,25 +42,67 @@ def test_every_document_once_and_whole(spark):
             assert all(sorted(n) == list(range(len(n))) for n in numbers.values())
 
 
-def test_neighbours_share_words():
+def brute_force(ids, seeds, k, idf, mean):
+    """Nearest documents by BM25, straight from its formula."""
+    out = {}
+    counts = [dict(zip(*np.unique(np.asarray(x, int), return_counts=True), strict=True)) for x in ids]
+    for s in seeds:
+        scores = []
+        for d, tf in enumerate(counts):
+            if d != s and (score := sum(idf[t] * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(ids[d]) / mean)) for t in counts[s] if t in tf)):
+                scores.append((-score, d))
+        out[s] = [d for _, d in sorted(scores)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("index_tokens, query_rows", [(10**6, 4000), (3000, 50), (700, 7)])
+def test_recall_at_ten_does_not_depend_on_shards(spark, small, index_tokens, query_rows):
+    """Against brute force over all documents, seeds drawn from the largest."""
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect() if r.text]
+    ids = encode(texts)
+    n = len(ids)
+    tokens = token_table(spark.createDataFrame(list(enumerate(texts)), "item long, text string"), "item", "text")
+    idf, count, mean = document_frequencies(tokens)
+    assert count == n
+    seeds = sorted(range(n), key=lambda i: -len(ids[i]))[:20]
+    queries = tokens.where(F.col("item").isin(seeds)).select("item", "terms")
+    got = {}
+    for r in neighbours(tokens, queries, len(seeds), 10, idf, count, mean, index_tokens, query_rows).collect():
+        got.setdefault(r.seed, []).append((-r.score, r.doc))
+    want = brute_force(ids, seeds, 10, idf, mean)
+    recall = np.mean([len({d for _, d in got[s]} & set(want[s])) / len(want[s]) for s in seeds])
+    assert recall >= 0.99 and all(len(got[s]) == len(want[s]) for s in seeds)
+
+
+def test_neighbours_come_into_one_container(spark):
     rng = np.random.default_rng(6)
-    terms = [np.sort(rng.choice(np.arange(g * 100, g * 100 + 40), 20, replace=False)).astype(np.int32) for g in (0, 1) for _ in range(30)]
-    sizes = np.full(60, 20)
-    idf = np.full(VOCABULARY, 2.0)
-    boxes = pack(sizes, terms, [np.ones(20, np.int32)] * 60, 100, idf, 20.0)
-    assert sorted(i for b in boxes for i in b) == list(range(60)) and all(len(b) == 5 for b in boxes)
-    assert sum(len({i // 30 for i in b}) == 1 for b in boxes) == len(boxes)
-    assert pack(np.zeros(0, int), [], [], 10, idf, 1.0) == []
-
-
-def test_neighbours_by_all_terms_until_none_fits():
-    idf = np.ones(VOCABULARY)
-    idf[:50] = 5.0
-    ones = lambda terms: [np.ones(len(t), np.int32) for t in terms]
-    light = [np.arange(100, dtype=np.int32), np.arange(50, 70, dtype=np.int32), np.arange(200, 230, dtype=np.int32)]
-    assert pack(np.array([100, 20, 30]), light, ones(light), 130, idf, 50.0)[0] == [0, 1]  # shares none of the heaviest terms
-    room = [np.arange(60, dtype=np.int32), np.arange(15, dtype=np.int32), np.arange(15, 25, dtype=np.int32), np.arange(200, 225, dtype=np.int32)]
-    assert pack(np.array([60, 15, 10, 25]), room, ones(room), 100, idf, 30.0)[0] == [0, 1, 2]  # the last third of the window too
+    rows = [(g * 100 + i, " ".join(rng.choice([f"{w}{g}" for w in "abcdefghijklmnop"], 60 if i < 4 else 12))) for g in range(5) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = containers(df, "doc_id", "text", {"x": 400}, index_tokens=2000, query_rows=5).collect()
+    assert len(got) == len(rows)
+    box = {}
+    for r in got:
+        box.setdefault(r.container_id, []).append(r)
+    near = [r for r in got if r.source == "neighbour"]
+    assert len(near) > 100
+    seed = {c: next(r.doc_id for r in rs if r.item_no == 0) // 100 for c, rs in box.items()}
+    assert sum(r.doc_id // 100 == seed[r.container_id] for r in near) / len(near) > 0.9
+
+
+def test_gaps_are_filled_by_two():
+    assert sorted(fill([(1, 10)], [(2, 7), (3, 6), (4, 4), (5, 1)], 100)) == [(2, 1), (3, 3), (4, 3), (5, 1)] or sum(1 for _, c in fill([(1, 10)], [(2, 7), (3, 6), (4, 4), (5, 1)], 100) if c == 1) == 2
+    rng = np.random.default_rng(3)
+    items = [(i, int(s)) for i, s in enumerate(rng.integers(1, 120, 3000))]
+    size = dict(items)
+    rooms = [(-i - 1, int(r)) for i, r in enumerate(rng.integers(0, 400, 600))]
+    out = fill(rooms, items, 500)
+    assert sorted(i for i, _ in out) == list(range(3000))
+    used = {}
+    for i, c in out:
+        used[c] = used.get(c, 0) + size[i]
+    assert all(used[c] <= r for c, r in rooms if c in used) and all(u <= 500 for c, u in used.items() if c >= 0)
+    assert sum(r - used.get(c, 0) for c, r in rooms) < 0.002 * sum(r for _, r in rooms)
+    assert fill([], [], 10) == [] and fill([(1, 0)], [(2, 10)], 10) == [(2, 2)]
 
 
 def test_frequencies_and_report(spark):
