@@ -1,12 +1,13 @@
 """Filling containers of fixed capacity with documents that belong together.
 
-The largest documents seed the containers. Each seed asks a sharded BM25 index over all documents (token ids as terms, document
-frequencies of the whole corpus): every shard answers with its nearest, and the nearest of all shards are the seed's
-neighbours, so they don't depend on how the corpus was sharded. A document that several seeds found goes to the one that it is
-nearest to; the seed takes its neighbours greedily, nearest first, until none fits; those left over ask the next nearest
-seed that has room. What room is left then takes documents that no seed could take, by size: two that fill it exactly if there
-are, else the largest that fits. A document is split only if it alone exceeds the capacity: into full containers and a
-rest that is packed like any other document.
+Documents are routed to shards by what they are about: centroids of a spherical k-means, fitted on a bounded sample of BM25
+vectors, take every document of the corpus. Each shard has a bounded number of tokens and a BM25 index of its own over token
+ids, with document frequencies and lengths of the whole corpus; as near documents have the same centroid, a seed finds
+its neighbours there. The largest unused document seeds a container; the index scores all unused documents of the shard by
+all terms of the seed, and the nearest fill the window greedily. The last gap takes the nearest document that fills it
+exactly alone or with one more; documents that share no term come last, by size. What the shards' last containers
+leave empty is filled by merging these. A document is split only if it alone exceeds the capacity: into full containers
+and a rest that is packed like any other document.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,18 +27,12 @@ from ..session import materialize, ship
 from ..operators.batches import pieces
 from .tokens import TOKENIZER_DIR, TOKENIZER_FILE, VOCABULARY, encode
 
-#: Tokens in a shard of the index, and seeds in a block of queries: they bound a task's memory, and change no result.
-INDEX_TOKENS, QUERY_ROWS = 4_000_000, 4_000
-#: Neighbours that a seed is told, over all shards. Documents that are no seed's neighbour are packed by size.
-NEIGHBOURS = 64
-#: Rounds in which documents ask their nearest seed with room.
-ROUNDS = 3
-#: Seeds to containers needed: a little less, so that small documents are left for the last gaps.
-SEED_SHARE = 0.98
-#: Items of a group in which gaps are filled by size.
-GROUP_ITEMS = 40_000
-#: Terms in more than this share of a shard's documents are held as dense rows, all others as postings.
-DENSE_SHARE = 1 / 8
+#: Tokens for each centroid, and most centroids: the vocabulary times these is what workers get (25 MB at most).
+CLUSTER_TOKENS, MOST_CLUSTERS = 1_000_000, 128
+#: Most tokens in a shard: bounds a task's memory. A centroid with more (one text may be a third of all rows) has several shards, by hash.
+SHARD_TOKENS = 4_000_000
+#: Documents that the centroids are fitted on, and passes over them.
+SAMPLE, PASSES = 6_000, 12
 K1, B = 1.5, 0.75
 
 
@@ -81,270 +76,229 @@ def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     return np.log1p((n - df + 0.5) / (df + 0.5)), n, float(mean or 1.0)
 
 
-class Index:
-    """BM25 index of one shard. Query terms count once; scores are sums over all terms of the query."""
-
-    def __init__(self, items: np.ndarray, sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        order = np.argsort(items, kind="stable")
-        self.items, n = items[order], len(items)
-        self.n = n
-        terms, counts, sizes = [terms[i] for i in order], [counts[i] for i in order], sizes[order]
-        doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
-        term = np.concatenate([*terms, np.zeros(0, np.int32)])
-        tf = np.concatenate([*counts, np.zeros(0, np.int32)]).astype(float)
-        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))).astype(np.float32)
-        by_term = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[by_term], weight[by_term]
-        known, first, df = np.unique(term[by_term], return_index=True, return_counts=True)
-        common = df > n * DENSE_SHARE
-        self.span = {int(t): (int(s), int(s + c)) for t, s, c in zip(known[~common], first[~common], df[~common], strict=True)}
-        self.row = {int(t): i for i, t in enumerate(known[common])}
-        self.dense = np.zeros((len(self.row), n), np.float32)
-        for i, (s, c) in enumerate(zip(first[common], df[common], strict=True)):
-            self.dense[i, self.doc[s : s + c]] = self.weight[s : s + c]
-
-    def search(self, seeds: np.ndarray, queries: list[np.ndarray], k: int, at_once: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Each seed with its nearest ``k`` other documents and their scores, nearest first; ties go to the smaller item."""
-        for start in range(0, len(queries), at_once):
-            some = queries[start : start + at_once]
-            asked = np.zeros((len(some), len(self.row)), np.float32)
-            rare: list[list[tuple[int, int]]] = []
-            for i, q in enumerate(some):
-                spans = []
-                for t in q.tolist():
-                    if (r := self.row.get(t)) is not None:
-                        asked[i, r] = 1
-                    elif (span := self.span.get(t)) is not None:
-                        spans.append(span)
-                rare.append(spans)
-            scores = asked @ self.dense
-            for i, spans in enumerate(rare):
-                score, seed = scores[i], int(seeds[start + i])
-                for s, e in spans:
-                    score[self.doc[s:e]] += self.weight[s:e]  # a document occurs once in a term's postings
-                own = int(np.searchsorted(self.items, seed))
-                if own < self.n and self.items[own] == seed:
-                    score[own] = 0
-                least = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0
-                near = np.flatnonzero((score >= least) & (score > 0))
-                near = near[np.lexsort((near, -score[near]))][:k]
-                yield seed, self.items[near], score[near]
-
-
-def neighbours(tokens: DataFrame, queries: DataFrame, n_queries: int, k: int, idf: np.ndarray, n: int, mean: float, index_tokens: int = INDEX_TOKENS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """The ``k`` nearest documents of each query by BM25 over all documents: ``seed, doc, score``; exact, ties by item.
-
-    tokens: ``item, n_tokens, terms, counts`` (unique ``item``); queries: ``item, terms``, a row or none for each item. Shards of
-    documents by hash (about ``index_tokens`` tokens each) meet blocks of queries by hash (about ``query_rows`` rows), so a
-    task holds one shard and one block, and answers with ``k`` rows a query, which are merged. The work grows with
-    queries times documents, as every query is answered by all of them.
+def bm25(size: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """What each term of each document adds to the score of a query that has the term. size: tokens of each document."""
+    tf = tf.astype(float)
+    return (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))).astype(np.float32)
+
+
+class Vectors:
+    """BM25 vectors of some documents, end to end."""
+
+    def __init__(self, sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
+        self.begin = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), np.diff(self.begin))
+        self.term = np.concatenate([*terms, np.zeros(0, np.int32)])
+        self.weight = bm25(sizes, self.doc, self.term, np.concatenate([*counts, np.zeros(0, np.int32)]), idf, mean)
+
+    def nearest(self, centroids: np.ndarray, at_once: int = 200_000) -> np.ndarray:
+        """Number of the centroid (columns of a table by term) with the largest dot product; each document has a term."""
+        out = np.zeros(len(self.begin) - 1, np.int32)
+        i = 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.begin, self.begin[i] + at_once, side="right")) - 1)
+            a, b = self.begin[i], self.begin[j]
+            out[i:j] = np.add.reduceat(centroids[self.term[a:b]] * self.weight[a:b, None], self.begin[i:j] - a, axis=0).argmax(1)
+            i = j
+        return out
+
+
+def fit_centroids(v: Vectors, k: int, seed: int = 7) -> np.ndarray:
+    """Spherical k-means: a column of unit length for each of ``k`` centroids, a row for each term."""
+    n = len(v.begin) - 1
+    length = np.sqrt(np.add.reduceat(v.weight.astype(float) ** 2, v.begin[:-1]))
+    v.weight = (v.weight / length[v.doc]).astype(np.float32)
+    rng = np.random.default_rng(seed)
+    chosen = rng.choice(n, k, replace=k > n)
+    own = np.full(n, -1)
+    centroids = np.zeros((VOCABULARY, k), np.float32)
+    for no in range(PASSES + 1):
+        if no:
+            own = v.nearest(centroids)
+            sums = np.bincount(v.term.astype(np.int64) * k + own[v.doc], weights=v.weight, minlength=VOCABULARY * k).reshape(VOCABULARY, k)
+            norm = np.linalg.norm(sums, axis=0)
+            chosen = np.where(norm > 0, -1, rng.integers(0, n, k))  # a centroid without documents begins anew
+            centroids = (sums / np.maximum(norm, 1e-9)).astype(np.float32)
+        for c in np.flatnonzero(chosen >= 0).tolist():
+            a, b = v.begin[chosen[c]], v.begin[chosen[c] + 1]
+            centroids[:, c] = 0
+            centroids[v.term[a:b], c] = v.weight[a:b]
+    return centroids
+
+
+def routed(tokens: DataFrame, idf: np.ndarray, n: int, mean: float, cluster_tokens: int = CLUSTER_TOKENS, shard_tokens: int = SHARD_TOKENS, sample: int = SAMPLE) -> tuple[DataFrame, int]:
+    """``tokens`` with column ``shard``, and the number of shards.
+
+    The centroids, one for each ``cluster_tokens`` tokens (``MOST_CLUSTERS`` at most), are fitted by the driver on about ``sample``
+    documents chosen by hash; every document goes to its nearest one, in a narrow pass. The driver reads the tokens of each
+    centroid; one with more than ``shard_tokens`` has several shards, by hash.
     """
-    shards, blocks = max(1, math.ceil(mean * n / index_tokens)), max(1, math.ceil(n_queries / query_rows))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    part = lambda count: F.pmod(F.xxhash64("item"), F.lit(count)).cast("int")
-    docs = tokens.select(part(shards).alias("shard"), every(blocks).alias("block"), "item", "n_tokens", "terms", "counts")
-    asks = queries.select(every(shards).alias("shard"), part(blocks).alias("block"), "item", "terms")
-    shared_idf = tokens.sparkSession.sparkContext.broadcast(idf)  # one number for each id of the vocabulary
-    arrow = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("score", pa.float32())])
-
-    def run(shard: pa.Table, block: pa.Table) -> pa.Table:
-        if not shard.num_rows or not block.num_rows:
-            return arrow.empty_table()
-        index = Index(shard.column("item").to_numpy(), shard.column("n_tokens").to_numpy(), _lists(shard.column("terms")), _lists(shard.column("counts")), shared_idf.value, mean)
-        found = list(index.search(block.column("item").to_numpy(), _lists(block.column("terms")), k))
-        seeds = np.repeat(np.asarray([s for s, *_ in found], np.int64), [len(d) for _, d, _ in found])
-        return pa.table([pa.array(seeds), pa.array(np.concatenate([d for _, d, _ in found])), pa.array(np.concatenate([x for *_, x in found]), pa.float32())], schema=arrow)
-
-    answers = docs.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(run, "seed bigint, doc bigint, score float")
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "doc"))  # each task keeps k rows a seed before the shuffle
-    return answers.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
-
-
-def fill(rooms: list[tuple[int, int]], items: list[tuple[int, int]], capacity: int) -> list[tuple[int, int]]:
-    """Items into the containers' rooms, and into new containers: (item, container), in the order in which they are put in.
-
-    rooms: (container, room); items: (item, size from 1 to ``capacity``). Containers are served from the largest room on. Two items
-    (or one) that leave at most seven of the room are taken if there are, else the largest item that fits. When no room
-    takes anything, the largest item that is left begins a container that has its name.
+    spark = tokens.sparkSession
+    k = min(MOST_CLUSTERS, max(1, math.ceil(mean * n / cluster_tokens)))
+    per_million = min(1_000_000, math.ceil(sample * 1_000_000 / max(1, n)))
+    chosen = tokens.where(F.pmod(F.xxhash64(F.lit("fit"), "item"), F.lit(1_000_000)) < per_million).select("item", "n_tokens", "terms", "counts").orderBy("item").toArrow() if k > 1 else None
+    if chosen is None or chosen.num_rows < k:
+        parts = max(1, math.ceil(mean * n / shard_tokens))
+        return tokens.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int")), parts
+    centroids = fit_centroids(Vectors(chosen.column("n_tokens").to_numpy(), _lists(chosen.column("terms")), _lists(chosen.column("counts")), idf, mean), k)
+    shared = spark.sparkContext.broadcast((centroids, idf))  # bounded by the vocabulary
+    names = tokens.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, weights = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                of = {c: batch.column(names.index(c)) for c in ("n_tokens", "terms", "counts")}
+                own = Vectors(of["n_tokens"].to_numpy(), _lists(of["terms"]), _lists(of["counts"]), weights, mean).nearest(table)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32())], names=[*names, "cluster"])
+
+    clustered = materialize(tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("cluster", T.IntegerType())])), "clustered")
+    size = {r["cluster"]: r["t"] for r in clustered.groupBy("cluster").agg(F.sum("n_tokens").alias("t")).collect()}
+    parts = [max(1, math.ceil(size.get(c, 0) / shard_tokens)) for c in range(k)]
+    first = np.concatenate([[0], np.cumsum(parts)]).tolist()
+    pick = lambda values: F.array(*map(F.lit, values))[F.col("cluster")]
+    return clustered.withColumn("shard", (pick(first[:-1]) + F.pmod(F.xxhash64("item"), pick(parts))).cast("int")).drop("cluster"), first[-1]
+
+
+def pack(sizes: np.ndarray, lengths: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], capacity: int, idf: np.ndarray, mean: float) -> list[list[tuple[int, bool]]]:
+    """Containers of one shard, as lists of (item number, whether it shares a term with the seed); the first is the seed.
+
+    sizes: tokens of each item, from 1 to ``capacity``; lengths: those of the whole document, by which BM25 scores it.
     """
-    have: list[list[int]] = [[] for _ in range(capacity + 1)]
-    for item, size in sorted(items, reverse=True):
-        have[size].append(item)
-    some = np.asarray([bool(x) for x in have])
-    out: list[tuple[int, int]] = []
-    left = len(items)
-
-    def take(size: int, container: int) -> None:
-        nonlocal left
-        out.append((have[size].pop(), container))
-        some[size] = bool(have[size])
-        left -= 1
-
-    def close(container: int, room: int) -> None:
-        while left:
-            fits = np.flatnonzero(some[: room + 1])
-            if not len(fits):
-                return
-            largest = int(fits[-1])
-            if room <= 2 * largest and room > largest + 7:
-                for total in range(room, max(room - 8, 1), -1):
-                    pair = np.flatnonzero(some[1:total] & some[total - 1 : 0 : -1])
-                    pair = pair[: len(pair) // 2 + 1] + 1
-                    two = [a for a in pair.tolist() if a * 2 != total or len(have[a]) > 1]
-                    if two:
-                        take(total - two[0], container)
-                        take(two[0], container)
-                        room -= total
-                        break
-                else:
-                    take(largest, container)
-                    room -= largest
+    n = len(sizes)
+    v = Vectors(lengths, terms, counts, idf, mean)
+    order = np.argsort(v.term, kind="stable")
+    index_doc, index_weight = v.doc[order], v.weight[order]
+    known, first = np.unique(v.term[order], return_index=True)
+    span = dict(zip(known.tolist(), zip(first.tolist(), [*first.tolist(), len(order)][1:], strict=False), strict=False))
+    unused = np.ones(n, bool)
+    of_size = np.bincount(sizes, minlength=capacity + 1)  # unused items of each size
+    typical = int(np.median(sizes)) if n else 0
+    out: list[list[tuple[int, bool]]] = []
+
+    def take(i: int) -> int:
+        unused[i] = False
+        of_size[sizes[i]] -= 1
+        return int(sizes[i])
+
+    for seed in np.lexsort((np.arange(n), -sizes)).tolist():  # the largest first
+        if not unused[seed]:
+            continue
+        room = capacity - take(seed)
+        box = [(seed, True)]
+        out.append(box)
+        score = None
+        while room and of_size[: room + 1].any():
+            if score is None:
+                score = np.zeros(n, np.float32)
+                for t in v.term[v.begin[seed] : v.begin[seed + 1]].tolist():
+                    s, e = span[t]
+                    score[index_doc[s:e]] += index_weight[s:e]  # a document occurs once in a term's postings
+                near = np.flatnonzero(unused & (sizes <= room))
+                near = near[np.lexsort((near, -sizes[near], -score[near]))]  # without a common term by size
+                at = 0
+            if room > 2 * typical:
+                while not unused[near[at]] or sizes[near[at]] > room:
+                    at += 1
+                picked = [int(near[at])]
             else:
-                take(largest, container)
-                room -= largest
-
-    for container, room in sorted(rooms, key=lambda x: (-x[1], x[0])):
-        close(container, room)
-    while left:
-        size = int(np.flatnonzero(some)[-1])
-        container = have[size][-1]
-        take(size, container)
-        close(container, capacity - size)
+                near, at = near[at:][unused[near[at:]] & (sizes[near[at:]] <= room)], 0
+                picked = _closing(near, sizes, of_size, room)
+            for i in picked:
+                room -= take(i)
+                box.append((i, bool(score[i] > 0)))
     return out
 
 
-def _seed_sizes(sizes: dict[int, int], capacity: int) -> tuple[int, int]:
-    """Size from which on items are seeds, and of those of just that size how many in a million."""
-    wanted = math.ceil(SEED_SHARE * sum(s * n for s, n in sizes.items()) / capacity)
-    for size in sorted(sizes, reverse=True):
-        if sizes[size] >= wanted:
-            return size, math.ceil(1_000_000 * wanted / sizes[size])
-        wanted -= sizes[size]
-    return 1, 1_000_000
+def _closing(near: np.ndarray, sizes: np.ndarray, of_size: np.ndarray, room: int) -> list[int]:
+    """The nearest item that fills the room up to at most seven tokens, alone or with the nearest one of the size that is missing, else the nearest."""
+    size = sizes[near]
+    for total in range(room, max(room - 8, 0), -1):
+        missing = total - size
+        pairs = (missing >= 0) & ((missing == 0) | (of_size[np.maximum(missing, 0)] > (missing == size)))
+        if pairs.any():
+            k = int(np.argmax(pairs))
+            if missing[k] == 0:
+                return [int(near[k])]
+            other = np.flatnonzero(size == missing[k])
+            return [int(near[k]), int(near[other[other != k][0]])]
+    return [int(near[0])]
 
 
 def containers(
     df: DataFrame, key: str, text: str, limits: dict[str, int], folder: str = TOKENIZER_DIR, vocabulary: str = TOKENIZER_FILE,
-    index_tokens: int = INDEX_TOKENS, query_rows: int = QUERY_ROWS, k: int = NEIGHBOURS, group_items: int = GROUP_ITEMS,
+    cluster_tokens: int = CLUSTER_TOKENS, shard_tokens: int = SHARD_TOKENS,
 ) -> DataFrame:
     """Documents in containers: ``limit_name, container_id, item_no, key, piece_no, first_token, n_tokens, source``.
 
     limits: capacity by name. Each document is in one container of each limit, whole, unless it alone exceeds the capacity;
     then its pieces are consecutive token ranges, all but the last of them full containers. ``source`` tells how an item came
-    there: ``whole`` (a piece that fills its container), ``seed``, ``neighbour`` or ``size``. Null and empty texts have no tokens and
-    are in no container; equal texts and equal keys are packed like others; other columns are ignored; an empty table gives
-    an empty one.
+    there: ``whole`` (a piece that fills its container), ``seed``, ``neighbour`` (shares a term with the seed) or ``size``. Null and empty texts have
+    no tokens and are in no container; equal texts and equal keys are packed like others; other columns are ignored; an
+    empty table gives an empty one.
 
-    Only term vectors are shuffled, never texts: documents once for each block of seeds, seeds once for each shard. All that
-    follows runs on rows of numbers. The driver reads a histogram of sizes, one row for each size up to the capacity.
+    Only term vectors are shuffled, once, never texts. No source, language or group of copies makes a shard larger than its bound.
     """
     ship(df.sparkSession)
     tokens = token_table(df, key, text, folder=folder, vocabulary=vocabulary).where("n_tokens > 0")
     tokens = materialize(tokens.withColumn("item", F.monotonically_increasing_id()), "tokens")
     idf, n, mean = document_frequencies(tokens)
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("limit_name"), F.lit(most).cast("bigint").alias("capacity")) for name, most in limits.items()]))
-    pieces_ = tokens.select("item", F.col(key).alias("__key"), "n_tokens", each.alias("__l")).select("item", "__key", "n_tokens", "__l.*")
-    full = F.when(F.col("n_tokens") > F.col("capacity"), F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(0).cast("int")
-    items = pieces_.select("limit_name", "capacity", "item", "__key", full.alias("piece_no"), (full * F.col("capacity")).alias("first_token"), (F.col("n_tokens") - full * F.col("capacity")).alias("size")).where("size > 0")
-    items = materialize(items, "items")
-    sizes: dict[str, dict[int, int]] = {name: {} for name in limits}
-    for r in items.groupBy("limit_name", "size").count().toLocalIterator():
-        sizes[r["limit_name"]][r["size"]] = r["count"]
-    draw = F.pmod(F.xxhash64(F.lit("seed"), "item"), F.lit(1_000_000))
-    is_seed, asks = F.lit(False), F.lit(False)
-    for name, most in limits.items():
-        at, share = _seed_sizes(sizes[name], most)
-        rest = F.when(F.col("n_tokens") > most, F.col("n_tokens") % most).otherwise(F.col("n_tokens"))
-        chosen = lambda size, at=at, share=share: (size > at) | (size == at) & (draw < share)
-        is_seed = is_seed | (F.col("limit_name") == name) & chosen(F.col("size"))
-        asks = asks | chosen(rest)
-    queries = tokens.where(asks).select("item", "terms")
-    found = materialize(neighbours(tokens.select("item", "n_tokens", "terms", "counts"), queries, queries.count(), k, idf, n, mean, index_tokens, query_rows), "neighbours")
-    seeds = items.where(is_seed).select("limit_name", F.col("item").alias("seed"), (F.col("capacity") - F.col("size")).alias("room"))
-    pool = items.where(~is_seed).select("limit_name", F.col("item").alias("doc"), "size")
-    open_ = found.join(seeds, "seed").join(pool, ["limit_name", "doc"]).where("size <= room")
-    taken = None
-    for no in range(ROUNDS):
-        open_ = materialize(open_, "open")
-        now = materialize(_greedy(open_).withColumn("round", F.lit(no)), "taken")
-        taken = now if taken is None else taken.unionByName(now)
-        used = now.groupBy("limit_name", "seed").agg(F.sum("size").alias("used"))
-        gone = now.select("limit_name", "doc", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        open_ = open_.withColumn("salt", F.pmod(F.xxhash64("seed"), F.lit(SALTS)).cast("int")).join(gone, ["limit_name", "doc", "salt"], "left_anti").drop("salt")
-        open_ = open_.join(used, ["limit_name", "seed"], "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0))).drop("used").where("size <= room")
-    used = taken.groupBy("limit_name", "seed").agg(F.sum("size").alias("used"))
-    groups = max(1, math.ceil(sum(sum(x.values()) for x in sizes.values()) / max(1, len(limits)) / group_items))
-    group = lambda c: F.pmod(F.xxhash64(F.lit("fill"), c), F.lit(groups)).alias("part")
-    rooms = seeds.join(used, ["limit_name", "seed"], "left").select("limit_name", group("seed"), F.lit(True).alias("is_room"), F.col("seed").alias("id"), (F.col("room") - F.coalesce("used", F.lit(0))).alias("size"))
-    left = pool.join(taken.select("limit_name", "doc"), ["limit_name", "doc"], "left_anti").select("limit_name", group("doc"), F.lit(False).alias("is_room"), F.col("doc").alias("id"), "size")
-
-    def fill_group(rows: pa.Table) -> pa.Table:
-        name = rows.column("limit_name")[0].as_py()
-        room, ids, size = (rows.column(c).to_pylist() for c in ("is_room", "id", "size"))
-        split = lambda kind: [(i, s) for r, i, s in zip(room, ids, size, strict=True) if r == kind]
-        out = fill(split(True), split(False), limits[name])
-        return pa.table({"limit_name": pa.array([name] * len(out), pa.string()), "item": pa.array([i for i, _ in out], pa.int64()), "container": pa.array([c for _, c in out], pa.int64()), "place": pa.array(range(len(out)), pa.float64())})
-
-    filled = rooms.unionByName(left).groupBy("limit_name", "part").applyInArrow(fill_group, "limit_name string, item bigint, container bigint, place double")
-    began = F.when(F.col("item") == F.col("container"), "seed").otherwise("size")
-    placed = (
-        seeds.select("limit_name", F.col("seed").alias("item"), F.col("seed").alias("container"), F.lit(0).alias("stage"), F.lit(0.0).alias("place"), F.lit("seed").alias("source"))
-        .unionByName(taken.select("limit_name", F.col("doc").alias("item"), F.col("seed").alias("container"), (F.col("round") + 1).alias("stage"), (-F.col("score")).cast("double").alias("place"), F.lit("neighbour").alias("source")))
-        .unionByName(filled.select("limit_name", "item", "container", F.lit(ROUNDS + 1).alias("stage"), "place", began.alias("source")))
-    )
-    within = Window.partitionBy("limit_name", "container").orderBy("stage", "place", "item")  # a container holds capacity items at most
-    placed = placed.join(items.drop("capacity"), ["limit_name", "item"]).withColumn("item_no", F.row_number().over(within) - 1)
-    placed = placed.withColumn("box_tokens", F.sum("size").over(Window.partitionBy("limit_name", "container")))
-    assigned = placed.select("limit_name", F.col("container").cast("string").alias("container_id"), "item_no", F.col("__key").alias(key), "piece_no", "first_token", F.col("size").alias("n_tokens"), "source", "box_tokens")
-    pieces_ = pieces_.where("n_tokens > capacity").withColumn("piece_no", F.explode(F.sequence(F.lit(0), full - 1)))
-    whole = pieces_.select(
-        "limit_name", F.concat_ws(".", "item", "piece_no").alias("container_id"), F.lit(0).alias("item_no"), F.col("__key").alias(key), "piece_no",
-        (F.col("piece_no") * F.col("capacity")).alias("first_token"), F.col("capacity").alias("n_tokens"), F.lit("whole").alias("source"), F.col("capacity").alias("box_tokens"),
+    sharded, shards = routed(tokens, idf, n, mean, cluster_tokens, shard_tokens)
+    key_type = df.schema[key].dataType
+    schema = T.StructType(
+        [
+            T.StructField("limit_name", T.StringType()), T.StructField("container_id", T.LongType()), T.StructField("item_no", T.IntegerType()), T.StructField(key, key_type), T.StructField("piece_no", T.IntegerType()),
+            T.StructField("first_token", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("source", T.StringType()), T.StructField("box_tokens", T.LongType()),
+        ]
     )
-    assigned = materialize(assigned.unionByName(whole), "containers")
-    moved = merged_rest(assigned, limits, groups)
+    shared_idf = df.sparkSession.sparkContext.broadcast(idf)  # one number for each id of the vocabulary
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.take(pa.compute.sort_indices(group, [("item", "ascending")])).combine_chunks()
+        sizes = group.column("n_tokens").to_numpy()
+        terms, counts = _lists(group.column("terms")), _lists(group.column("counts"))
+        shard = group.column("shard")[0].as_py()
+        rows: list[tuple] = []
+        for name, capacity in limits.items():
+            made = 0
+            rest = sizes.copy()
+            for i in np.flatnonzero(sizes > capacity).tolist():
+                whole = int(sizes[i]) // capacity
+                rows += [(name, shard << 32 | made + piece, 0, i, piece, piece * capacity, capacity, "whole", capacity) for piece in range(whole)]
+                made += whole
+                rest[i] = sizes[i] - whole * capacity
+            some = np.flatnonzero(rest > 0)
+            for box in pack(rest[some], sizes[some], [terms[i] for i in some], [counts[i] for i in some], capacity, shared_idf.value, mean):
+                filled = int(rest[some[[i for i, _ in box]]].sum())
+                for no, (k, near) in enumerate(box):
+                    i = int(some[k])
+                    piece = int(sizes[i]) // capacity if sizes[i] > capacity else 0
+                    rows.append((name, shard << 32 | made, no, i, piece, int(sizes[i] - rest[i]), int(rest[i]), ("neighbour" if near else "size") if no else "seed", filled))
+                made += 1
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
+        columns[3] = group.column(key).take(columns[3])
+        return pa.table(columns, names=[f.name for f in schema.fields])
+
+    assigned = materialize(sharded.groupBy("shard").applyInArrow(run, schema), "containers")
+    moved = merged_rest(assigned, limits, shards)
     both = assigned.join(moved, ["limit_name", "container_id"], "left")
     return both.select("limit_name", F.coalesce("into", "container_id").alias("container_id"), (F.col("item_no") + F.coalesce("shift", F.lit(0))).alias("item_no"), key, "piece_no", "first_token", "n_tokens", "source")
 
 
-#: Parts that the rows of one document, found by many seeds, are spread over in a join.
-SALTS = 16
-
-
-def _greedy(open_: DataFrame) -> DataFrame:
-    """Each document asks its nearest seed; each seed takes the nearest that ask and still fit: ``limit_name, seed, doc, size, score``."""
-    nearest = F.max_by(F.struct("seed", "room", "size", "score"), F.struct("score", -F.col("seed")))
-    asking = open_.groupBy("limit_name", "doc").agg(nearest.alias("s")).select("limit_name", "s.seed", "doc", "s.size", "s.score", "s.room")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, room = None, 0
-        for batch in batches:
-            keep = []
-            for i, (limit, seed, size, most) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("limit_name", "seed", "size", "room")), strict=True)):
-                if (limit, seed) != at:
-                    at, room = (limit, seed), most
-                if size <= room:
-                    room -= size
-                    keep.append(i)
-            yield batch.take(pa.array(keep, pa.int64()))
-
-    ordered = asking.repartition("limit_name", "seed").sortWithinPartitions("limit_name", "seed", F.desc("score"), "doc")
-    return ordered.mapInArrow(run, asking.schema).drop("room")
-
-
 #: Containers filled less than this are merged, as wholes, with those of other shards.
 WELL_FILLED = 0.95
 
 
-def merged_rest(assigned: DataFrame, limits: dict[str, int], groups: int, group_size: int = 5000) -> DataFrame:
-    """Where the poorly filled last containers of the groups go: ``limit_name, container_id, into, shift`` (of item numbers).
+def merged_rest(assigned: DataFrame, limits: dict[str, int], shards: int, group_size: int = 5000) -> DataFrame:
+    """Where the poorly filled last containers of the shards go: ``limit_name, container_id, into, shift`` (of item numbers).
 
-    There are some of them in a group. They are merged in parts bounded by ``group_size`` groups; in each the fullest container
+    There are about two of them in a shard. Groups of them are bounded by ``group_size`` shards; in each the fullest container
     that still fits joins the fullest one that is open.
     """
     capacity = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("limit_name")]
     poor = assigned.where(F.col("box_tokens") < WELL_FILLED * capacity).groupBy("limit_name", "container_id").agg(F.max("box_tokens").alias("tokens"), F.count("*").cast("int").alias("items"))
-    poor = poor.withColumn("part", F.pmod(F.xxhash64("container_id"), F.lit(max(1, math.ceil(groups / group_size)))))
+    poor = poor.withColumn("part", F.pmod(F.xxhash64("container_id"), F.lit(max(1, math.ceil(shards / group_size)))))
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         room_of = limits[group["limit_name"].iloc[0]]
@@ -361,13 +315,12 @@ def merged_rest(assigned: DataFrame, limits: dict[str, int], groups: int, group_
                 room, shift = room - more, shift + items
         return pd.DataFrame(out, columns=["container_id", "into", "shift"]).assign(limit_name=group["limit_name"].iloc[0])[["limit_name", "container_id", "into", "shift"]]
 
-    return poor.groupBy("limit_name", "part").applyInPandas(merge, "limit_name string, container_id string, into string, shift int")
+    return poor.groupBy("limit_name", "part").applyInPandas(merge, "limit_name string, container_id bigint, into bigint, shift int")
 
 
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    column = column.combine_chunks()
+def _lists(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks)
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
     values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 

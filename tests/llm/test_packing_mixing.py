@@ -1,11 +1,12 @@
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm.mixing import mixture, quotas, shares, source_name
-from millrace.llm.packing import containers, document_frequencies, fill, fill_report, neighbours, token_table
+from millrace.llm.packing import _closing, containers, document_frequencies, fill_report, pack, routed, token_table
 from millrace.llm.tokens import VOCABULARY, chars_per_token, encode
 
 
@@ -20,8 +21,8 @@ def docs(spark, n=400, seed=5):
 def test_every_document_once_and_whole(spark):
     df = docs(spark)
     size = {r.doc_id: len(encode([r.text or ""])[0]) for r in df.collect()}
-    for index_tokens in (10**6, 3000):
-        got = containers(df, "doc_id", "text", {"small": 256, "big": 2048}, index_tokens=index_tokens, query_rows=50).collect()
+    for tokens in (10**6, 3000):
+        got = containers(df, "doc_id", "text", {"small": 256, "big": 2048}, cluster_tokens=tokens, shard_tokens=2 * tokens).collect()
         for name, capacity in (("small", 256), ("big", 2048)):
             own = [r for r in got if r.limit_name == name]
             fill, parts = {}, {}
@@ -55,54 +56,85 @@ def brute_force(ids, seeds, k, idf, mean):
     return out
 
 
-@pytest.mark.parametrize("index_tokens, query_rows", [(10**6, 4000), (3000, 50), (700, 7)])
-def test_recall_at_ten_does_not_depend_on_shards(spark, small, index_tokens, query_rows):
-    """Against brute force over all documents, seeds drawn from the largest."""
-    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect() if r.text]
+@pytest.mark.parametrize("clusters, least", [(1, 1.0), (4, 0.9), (12, 0.85)])
+def test_neighbours_are_in_the_shard(spark, clusters, least):
+    """Recall at ten against brute force over all documents, of seeds from the largest tenth."""
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables here")
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect() if r.text]
     ids = encode(texts)
-    n = len(ids)
     tokens = token_table(spark.createDataFrame(list(enumerate(texts)), "item long, text string"), "item", "text")
-    idf, count, mean = document_frequencies(tokens)
-    assert count == n
-    seeds = sorted(range(n), key=lambda i: -len(ids[i]))[:20]
-    queries = tokens.where(F.col("item").isin(seeds)).select("item", "terms")
-    got = {}
-    for r in neighbours(tokens, queries, len(seeds), 10, idf, count, mean, index_tokens, query_rows).collect():
-        got.setdefault(r.seed, []).append((-r.score, r.doc))
+    idf, n, mean = document_frequencies(tokens)
+    assert n == len(ids)
+    sharded, shards = routed(tokens, idf, n, mean, cluster_tokens=math.ceil(mean * n / clusters))
+    shard = {r.item: r.shard for r in sharded.select("item", "shard").collect()}
+    assert shards == clusters and len(shard) == n
+    rng = np.random.default_rng(1)
+    seeds = rng.choice(sorted(range(n), key=lambda i: -len(ids[i]))[: n // 10], 40, replace=False).tolist()
     want = brute_force(ids, seeds, 10, idf, mean)
-    recall = np.mean([len({d for _, d in got[s]} & set(want[s])) / len(want[s]) for s in seeds])
-    assert recall >= 0.99 and all(len(got[s]) == len(want[s]) for s in seeds)
+    assert np.mean([shard[d] == shard[s] for s in seeds for d in want[s]]) >= least
 
 
-def test_neighbours_come_into_one_container(spark):
+def test_one_text_in_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    words = [f"word{i}" for i in range(400)]
+    rows = [(i, "the same words again and again " * 5 if i % 3 == 0 else " ".join(rng.choice(words, 30))) for i in range(900)]
+    tokens = token_table(spark.createDataFrame(rows, "item long, text string"), "item", "text")
+    idf, n, mean = document_frequencies(tokens)
+    sharded, shards = routed(tokens, idf, n, mean, cluster_tokens=10_000, shard_tokens=4_000)
+    size = [r.t for r in sharded.groupBy("shard").agg(F.sum("n_tokens").alias("t")).collect()]
+    assert sum(size) == mean * n and max(size) < 1.5 * 4_000 and len(size) <= shards
+
+
+def groups(rng, lengths):
+    """Documents of two vocabularies that share no term."""
+    return [np.sort(rng.choice(np.arange(g * 100, g * 100 + 40), k, replace=False)).astype(np.int32) for g in (0, 1) for k in lengths]
+
+
+def test_neighbours_share_words():
     rng = np.random.default_rng(6)
-    rows = [(g * 100 + i, " ".join(rng.choice([f"{w}{g}" for w in "abcdefghijklmnop"], 60 if i < 4 else 12))) for g in range(5) for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = containers(df, "doc_id", "text", {"x": 400}, index_tokens=2000, query_rows=5).collect()
-    assert len(got) == len(rows)
-    box = {}
-    for r in got:
-        box.setdefault(r.container_id, []).append(r)
-    near = [r for r in got if r.source == "neighbour"]
-    assert len(near) > 100
-    seed = {c: next(r.doc_id for r in rs if r.item_no == 0) // 100 for c, rs in box.items()}
-    assert sum(r.doc_id // 100 == seed[r.container_id] for r in near) / len(near) > 0.9
-
-
-def test_gaps_are_filled_by_two():
-    assert sorted(fill([(1, 10)], [(2, 7), (3, 6), (4, 4), (5, 1)], 100)) == [(2, 1), (3, 3), (4, 3), (5, 1)] or sum(1 for _, c in fill([(1, 10)], [(2, 7), (3, 6), (4, 4), (5, 1)], 100) if c == 1) == 2
-    rng = np.random.default_rng(3)
-    items = [(i, int(s)) for i, s in enumerate(rng.integers(1, 120, 3000))]
-    size = dict(items)
-    rooms = [(-i - 1, int(r)) for i, r in enumerate(rng.integers(0, 400, 600))]
-    out = fill(rooms, items, 500)
-    assert sorted(i for i, _ in out) == list(range(3000))
-    used = {}
-    for i, c in out:
-        used[c] = used.get(c, 0) + size[i]
-    assert all(used[c] <= r for c, r in rooms if c in used) and all(u <= 500 for c, u in used.items() if c >= 0)
-    assert sum(r - used.get(c, 0) for c, r in rooms) < 0.002 * sum(r for _, r in rooms)
-    assert fill([], [], 10) == [] and fill([(1, 0)], [(2, 10)], 10) == [(2, 2)]
+    terms = groups(rng, [20] * 30)
+    sizes = np.full(60, 20)
+    idf = np.full(VOCABULARY, 2.0)
+    boxes = pack(sizes, sizes, terms, [np.ones(20, np.int32)] * 60, 100, idf, 20.0)
+    assert sorted(i for b in boxes for i, _ in b) == list(range(60)) and all(len(b) == 5 for b in boxes)
+    assert sum(len({i // 30 for i, _ in b}) == 1 for b in boxes) == len(boxes)
+    none = np.zeros(0, int)
+    assert pack(none, none, [], [], 10, idf, 1.0) == []
+
+
+def test_a_container_is_filled_by_its_nearest():
+    """All items but those of the last gap are the nearest unused ones by the formula, whichever terms they share."""
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(5, 30, 40).tolist()
+    terms = groups(rng, lengths)
+    sizes = np.array(lengths * 2)
+    idf = rng.random(VOCABULARY) + 0.1
+    mean = float(sizes.mean())
+    near = brute_force([t.tolist() for t in terms], range(80), 80, idf, mean)
+    boxes = pack(sizes, sizes, terms, [np.ones(len(t), np.int32) for t in terms], 200, idf, mean)
+    used = set()
+    for box in boxes[:6]:
+        seed, room = box[0][0], 200 - int(sizes[box[0][0]])
+        assert sizes[seed] == max(s for i, s in enumerate(sizes) if i not in used)
+        used.add(seed)
+        for i, shares in box[1:]:
+            if room <= 2 * np.median(sizes):
+                break
+            assert shares and i == next(d for d in near[seed] if d not in used and sizes[d] <= room)
+            used.add(i)
+            room -= int(sizes[i])
+        used |= {i for i, _ in box}
+    assert all(sum(sizes[i] for i, _ in b) == 200 for b in boxes[:6])
+
+
+def test_closing():
+    size_of = lambda sizes: np.bincount(sizes, minlength=200)
+    sizes = np.array([7, 6, 4, 1, 5])
+    assert _closing(np.arange(5), sizes, size_of(sizes), 10) == [1, 2]  # the nearest that has a partner
+    assert _closing(np.array([3, 4]), sizes, size_of(sizes[[3, 4]]), 5) == [4]
+    assert _closing(np.array([0]), sizes, size_of(sizes[[0]]), 100) == [0]
+    assert _closing(np.array([2]), sizes, size_of(sizes[[2]]), 8) == [2]  # no partner for itself
 
 
 def test_frequencies_and_report(spark):
