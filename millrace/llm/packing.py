@@ -30,7 +30,7 @@ from .tokens import TOKENIZER_DIR, TOKENIZER_FILE, VOCABULARY, encode
 #: Tokens for each centroid, and most centroids: the vocabulary times these is what workers get (25 MB at most).
 CLUSTER_TOKENS, MOST_CLUSTERS = 1_000_000, 128
 #: Most tokens in a shard: bounds a task's memory. A centroid with more (one text may be a third of all rows) has several shards, by hash.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 8_000_000
 #: Documents that the centroids are fitted on, and passes over them.
 SAMPLE, PASSES = 6_000, 12
 K1, B = 1.5, 0.75
