@@ -5,6 +5,10 @@ The text of an Arrow batch is taken as one array of code points. Every code poin
 sees are dropped), with expansion offsets for replacements of another length. Combining marks are then put in canonical
 order and composed pairwise, all of it with array operations over the batch; no Python string is touched row by row.
 
+Look-alike letters are folded in two ways. The skeleton, which tells whether two texts are displayed alike, takes the Latin
+letter everywhere. The canonical form, which is published, takes the letter of the script that the rest of the word is in, so
+that words of other scripts stay what they are: a letter that any script might have written follows those that only one has.
+
 Kept apart, as they are displayed differently: case, accents, raised, lowered and circled characters, and emoji,
 including the joiners and variation selectors that hold an emoji sequence together.
 """
@@ -28,18 +32,25 @@ from ..operators.batches import pieces
 #: Letters of other scripts that are drawn like Latin ones, as "look-alikes" -> "Latin letters", position by position.
 LOOKALIKES = [
     # Cyrillic
-    ("асеԁһіјӏорԛѕухԝѵ", "acedhijlopqsyxwv"),
-    ("АВСЕНІЈКМОРԚЅТУХԜҮ", "ABCEHIJKMOPQSTYXWY"),
+    ("асеԁһіјӏорԛѕухүԝѵ", "acedhijlopqsyxywv"),
+    ("АВСЕԌНІЈКМОРԚЅТУҮХԜ", "ABCEGHIJKMOPQSTYYXW"),
     # Greek
-    ("αικνορυχ", "aikvopux"),
-    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
+    ("αικνορυχϲϳ", "aikvopuxcj"),
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),
     # Armenian
     ("օոսհցզ", "onuhgq"),
     # Cherokee
-    ("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏃᏢᏚᎢᏙᎳᏃ", "ABCDEHJKLMZPSTVWZ"),
-    # Latin letters of other alphabets
-    ("ɑɡ", "ag"),
+    ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏒᏚᎢᏙᎳᎩᏃ", "ABCDEGHJKLMPRRSTVWYZ"),
+    # Lisu
+    ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
+    # Latin letters of other alphabets; small capitals follow by their names
+    ("ɑɡıɩʏ", "agiiy"),
 ]
+#: Latin letters that a word of the other script takes its own letter for, position by position.
+OTHER_SCRIPTS = {
+    "CYRILLIC": ("aceopxyiABCEHIKMOPTXY", "асеорхуіАВСЕНІКМОРТХУ"),
+    "GREEK": ("aikovpuxABEZHIKMNOPTYX", "αικονρυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"),
+}
 #: Drawn as a hyphen.
 HYPHENS = "‐‑‒⁃−˗﹣－"
 #: Code points without any picture of their own (first, last).
@@ -62,11 +73,18 @@ _TOP = sys.maxunicode + 1
 _DROP, _HANGUL = -1, range(0xAC00, 0xD7A4)
 
 
+def latin_letters() -> dict[int, int]:
+    """Latin letter by look-alike: ``LOOKALIKES`` and the small capitals."""
+    out = {ord(a): ord(b) for others, ours in LOOKALIKES for a, b in zip(others, ours, strict=True)}
+    small = {0x1D00 + i: unicodedata.name(chr(0x1D00 + i), "").removeprefix("LATIN LETTER SMALL CAPITAL ") for i in range(0x24)}
+    return {cp: ord(name.lower()) for cp, name in small.items() if len(name) == 1} | out
+
+
 class Tables:
-    """Lookup tables over all code points, built once in each Python worker."""
+    """Lookup tables over all code points, built once in each Python worker. skeleton: look-alikes become Latin letters."""
 
-    def __init__(self) -> None:
-        latin = {ord(a): ord(b) for others, ours in LOOKALIKES for a, b in zip(others, ours, strict=True)}
+    def __init__(self, skeleton: bool) -> None:
+        latin = latin_letters() if skeleton else {ord(c): ord(c) for c in "ϲϹ"}  # their decomposition is drawn otherwise
         latin |= {ord(c): ord("-") for c in HYPHENS}
         memo: dict[int, list[int]] = {}
 
@@ -154,13 +172,88 @@ def full_composed(cp: int, full) -> int:
 
 
 @cache
-def tables() -> Tables:
-    return Tables()
+def tables(skeleton: bool) -> Tables:
+    return Tables(skeleton)
+
+
+LATIN, CYRILLIC, GREEK, OTHER = range(1, 5)
+
+
+class Scripts:
+    """By code point: the script of a letter, the Latin letter it looks like, and the Cyrillic and Greek one (0: none)."""
+
+    def __init__(self) -> None:
+        numbers = {"LATIN": LATIN, "CYRILLIC": CYRILLIC, "GREEK": GREEK}
+        self.script = np.zeros(_TOP, np.uint8)
+        self.mark = np.zeros(_TOP, bool)
+        self.latin = np.zeros(_TOP, np.int32)
+        self.own = {n: np.zeros(_TOP, np.int32) for n in (CYRILLIC, GREEK)}
+        latin = latin_letters()
+        turned = {numbers[name]: {ord(a): ord(b) for a, b in zip(*pairs, strict=True)} for name, pairs in OTHER_SCRIPTS.items()}
+        for cp in range(0x20000):  # letters above are ideographs
+            c = chr(cp)
+            kind = unicodedata.category(c)
+            self.mark[cp] = kind[0] == "M"
+            if kind[0] != "L":
+                continue
+            self.script[cp] = numbers.get(unicodedata.name(c, "").split(" ")[0], OTHER)
+            base, *marks = unicodedata.normalize("NFD", c)  # a letter with accents follows its base
+            for table, letters in ((self.latin, latin), *((self.own[n], m) for n, m in turned.items())):
+                if ord(base) in letters:
+                    whole = unicodedata.normalize("NFC", chr(letters[ord(base)]) + "".join(marks))
+                    if len(whole) == 1:
+                        table[cp] = ord(whole)
+        self.open = (self.latin > 0) | (self.script == LATIN) & ((self.own[CYRILLIC] > 0) | (self.own[GREEK] > 0))
+
+
+@cache
+def scripts() -> Scripts:
+    return Scripts()
+
 
+def folded_codes(codes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Code points with the look-alikes of each word in one script.
 
-def canonical_codes(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Canonical code points, and the row of each; ``codes`` and ``row`` are those of the stored texts."""
-    t = tables()
+    It is the script of most letters in the word that no other script draws. A word without such letters is Latin if it
+    is of several scripts or the whole text is Latin (counted in the same way), else it stays: a text in
+    another script keeps its own short words.
+    """
+    s = scripts()
+    script = s.script[codes]
+    if not (s.latin[codes] > 0).any() and not (script > LATIN).any():
+        return codes
+    inside = (script > 0) | s.mark[codes]
+    new = inside.copy()
+    new[1:] &= ~inside[:-1] | (row[1:] != row[:-1])
+    word = np.cumsum(new)
+    words = int(word[-1]) + 1
+    letter = script > 0
+    open_ = s.open[codes]
+    sure = letter & ~open_
+    width = OTHER + 1
+    per_word = np.bincount(word[sure] * width + script[sure], minlength=words * width).reshape(words, width)
+    per_row = np.bincount(row[sure].astype(np.int64) * width + script[sure], minlength=(int(row[-1]) + 1) * width).reshape(-1, width)
+    held = np.bincount(word[letter] * width + script[letter], minlength=words * width).reshape(words, width)
+    row_of = np.zeros(words, np.int64)
+    row_of[word[letter]] = row[letter]
+    target = np.where(per_word.any(1), per_word.argmax(1), 0)
+    text = np.where(per_row.any(1), per_row.argmax(1), LATIN)[row_of]
+    mixed = (held > 0).sum(1) > 1
+    target = np.where((target == 0) & (mixed | (text == LATIN)), text, target)[word]
+    out = codes.copy()
+    turn = letter & open_ & (target > 0) & (target < OTHER)
+    latin = np.where(s.latin[codes] > 0, s.latin[codes], codes)
+    for n, table in s.own.items():
+        at = turn & (target == n) & (script != n)
+        out[at] = np.where(table[latin[at]] > 0, table[latin[at]], codes[at])
+    at = turn & (target == LATIN)
+    out[at] = latin[at]
+    return out
+
+
+def canonical_codes(codes: np.ndarray, row: np.ndarray, skeleton: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Canonical code points (or those of the skeleton), and the row of each; ``codes`` and ``row`` are those of the stored texts."""
+    t = tables(skeleton)
     if not len(codes):
         return codes, row
     # 1. what nobody sees is dropped, but for what holds an emoji sequence together
@@ -199,7 +292,15 @@ def canonical_codes(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.
         if unsorted.any():
             order = np.argsort(segment.astype(np.int64) << 8 | ccc, kind="stable")
             out = out[order]
-    # 4. compose, until nothing composes any more
+    # 4. compose, and once more where folded letters take the marks behind them
+    out, rows = composed_codes(out, rows, t)
+    if not skeleton and len(out):
+        out, rows = composed_codes(folded_codes(out, rows), rows, t)
+    return out, rows
+
+
+def composed_codes(out: np.ndarray, rows: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Code points composed pairwise within each row, until nothing composes any more."""
     while len(out) > 1 and len(t.pair_keys):
         ok = t.second[out[1:]] & (rows[1:] == rows[:-1])
         at = np.flatnonzero(ok)
@@ -224,8 +325,8 @@ def canonical_codes(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.
     return out, rows
 
 
-def canonical_array(column: pa.Array) -> pa.Array:
-    """Canonical form of a string array; null stays null."""
+def canonical_array(column: pa.Array, skeleton: bool = False) -> pa.Array:
+    """Canonical form (or skeleton) of a string array; null stays null."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
@@ -238,7 +339,7 @@ def canonical_array(column: pa.Array) -> pa.Array:
     begun = np.concatenate([[0], np.cumsum((octets & 0xC0) != 0x80)])
     ends = begun[offsets - offsets[0]] if n else np.zeros(1, np.int64)
     row = np.repeat(np.arange(n), np.diff(ends))
-    out, rows = canonical_codes(codes, row)
+    out, rows = canonical_codes(codes, row, skeleton)
     text = out.astype(np.uint32).tobytes().decode("utf-32-le").encode("utf-8")
     width = np.select([out < 0x80, out < 0x800, out < 0x10000], [1, 2, 3], 4)
     lengths = np.bincount(rows, weights=width, minlength=n).astype(np.int64) if n else np.zeros(0, np.int64)
@@ -249,8 +350,8 @@ def canonical_array(column: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(n, pa.py_buffer(new_offsets.tobytes()), pa.py_buffer(text), mask, column.null_count)
 
 
-def canonical_text(df: DataFrame, text: str, into: str = "canonical", keep: list[str] | None = None) -> DataFrame:
-    """``df`` with the canonical form of column ``text`` in column ``into``.
+def canonical_text(df: DataFrame, text: str, into: str = "canonical", keep: list[str] | None = None, skeleton: bool = False) -> DataFrame:
+    """``df`` with the canonical form of column ``text`` (or its skeleton) in column ``into``.
 
     Null gives null, the empty text the empty text; texts of any length are taken whole; other columns (those in
     ``keep``, by default all) are carried along, and a column that is named like ``into`` already is replaced. A narrow
@@ -266,7 +367,7 @@ def canonical_text(df: DataFrame, text: str, into: str = "canonical", keep: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, at, PIECE_BYTES):
-                out = canonical_array(part.column(at)).cast(pa.string())
+                out = canonical_array(part.column(at), skeleton).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), out], names=[*names, into])
 
     return df.mapInArrow(run, schema)
@@ -276,22 +377,47 @@ def canonical_text(df: DataFrame, text: str, into: str = "canonical", keep: list
 SALTS = 16
 
 
+def _spellings(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, form, spelling``: hashes of the skeleton and of the text as stored, written once; never texts."""
+    hashes = canonical_text(df.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()), text, "__form", skeleton=True)
+    return materialize(hashes.select(key, F.md5(F.col("__form").cast("binary")).alias("form"), F.md5(F.col(text).cast("binary")).alias("spelling")), "forms")
+
+
+def _salts(count: int = SALTS):
+    return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+
 def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs of rows whose texts are displayed alike but are different strings: ``<key>_1 < <key>_2``.
 
     Rows with null text or null key are in no pair; identical strings make no pair, each copy pairs with each other
     spelling. What is shuffled are hashes, never texts. Spellings are made distinct by a map-side combined aggregation
     before they are paired, so copies of one text never meet each other; a form that only one spelling has - be it a third
-    of all rows - pairs with nothing. The rows of a spelling join its pairs in salted parts.
+    of all rows - pairs with nothing. The spellings of a form, and the rows of a spelling, meet in salted parts.
+    ``lookalike_classes`` gives the same without listing pairs.
     """
-    hashes = canonical_text(df.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()), text, "__form")
-    hashes = materialize(hashes.select(key, F.md5(F.col("__form").cast("binary")).alias("form"), F.md5(F.col(text).cast("binary")).alias("spelling")), "forms")
+    hashes = _spellings(df, key, text)
     spellings = hashes.select("form", "spelling").distinct()
     several = spellings.groupBy("form").agg(F.min("spelling").alias("low"), F.max("spelling").alias("high")).where("low <> high").select("form")
     several = spellings.join(several, "form", "left_semi")
-    pairs = several.select("form", F.col("spelling").alias("s1")).join(several.select("form", F.col("spelling").alias("s2")), "form").where("s1 < s2").select("s1", "s2")
-    salted = hashes.select(key, "spelling", F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("salt"))
-    all_salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    first = pairs.withColumn("salt", all_salts).join(salted.select(F.col(key).alias("a"), F.col("spelling").alias("s1"), "salt"), ["s1", "salt"]).drop("salt")
-    both = first.withColumn("salt", all_salts).join(salted.select(F.col(key).alias("b"), F.col("spelling").alias("s2"), "salt"), ["s2", "salt"])
+    salt = lambda column: F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int").alias("salt")
+    ours = several.select("form", F.col("spelling").alias("s1"), salt("spelling"))
+    pairs = ours.join(several.select("form", F.col("spelling").alias("s2"), _salts().alias("salt")), ["form", "salt"]).where("s1 < s2").select("s1", "s2")
+    salted = hashes.select(key, "spelling", salt(key))
+    first = pairs.withColumn("salt", _salts()).join(salted.select(F.col(key).alias("a"), F.col("spelling").alias("s1"), "salt"), ["s1", "salt"]).drop("salt")
+    both = first.withColumn("salt", _salts()).join(salted.select(F.col(key).alias("b"), F.col("spelling").alias("s2"), "salt"), ["s2", "salt"])
     return both.select(F.least("a", "b").alias(f"{key}_1"), F.greatest("a", "b").alias(f"{key}_2")).where(F.col(f"{key}_1") < F.col(f"{key}_2")).distinct()
+
+
+def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows whose text is displayed like another string of the table: ``key, class, n_spellings, n_links``.
+
+    ``class`` is that of all texts displayed alike, ``n_links`` the number of rows in it that are spelled otherwise. Rows with null
+    text or null key have no class. Rows are counted before they are joined, and join in salted parts; no pair is formed.
+    """
+    hashes = _spellings(df, key, text)
+    counts = hashes.groupBy("form", "spelling").agg(F.count("*").alias("n"))
+    classes = counts.groupBy("form").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_spellings")).where("n_spellings > 1")
+    links = counts.join(classes, "form").select("form", "spelling", "n_spellings", (F.col("n_rows") - F.col("n")).alias("n_links"), _salts().alias("salt"))
+    salted = hashes.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    return salted.join(links, ["form", "spelling", "salt"]).select(key, F.col("form").alias("class"), "n_spellings", "n_links")

@@ -98,8 +98,12 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.lookalike_pairs(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.lookalike_classes(table(spark, sf, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_files, p3_found, p3_pieces, p4_found, p4_defects, p5_found, p5_credentials, p5_redacted, p5_focal_credentials, p5_focal_redacted, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_canonical)
+    own = (p1_found, p1_files, p3_found, p3_pieces, p4_found, p4_defects, p5_found, p5_credentials, p5_redacted, p5_focal_credentials, p5_focal_redacted, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_canonical, p8_classes)
     return {q.__name__: q for q in own}
 
 

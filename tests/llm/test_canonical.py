@@ -5,12 +5,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.canonical import LOOKALIKES, canonical_array, canonical_text, lookalike_pairs
+from millrace.llm.canonical import LOOKALIKES, OTHER_SCRIPTS, canonical_array, canonical_text, lookalike_classes, lookalike_pairs
 from millrace.operators.batches import pieces
 
 
-def canonical(*texts):
-    return canonical_array(pa.array(list(texts), pa.string())).to_pylist()
+def canonical(*texts, skeleton=False):
+    return canonical_array(pa.array(list(texts), pa.string()), skeleton).to_pylist()
 
 
 SAME = [
@@ -25,13 +25,30 @@ def test_alike(a, b):
     assert len(set(canonical(a, b))) == 1
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Москва сорок", "Москва сорок"), ("Αθήνα και ο χορός", "Αθήνα και ο χορός"), ("аpple", "apple"), ("Ꭱed ꓐank ᴀdmin", "Red Bank admin"), ("ϲode", "code"), ("the а b", "the a b"),
+        ("Mocква", "Москва"), ("вижу рeку", "вижу реку"), ("тест PHP и HTTP", "тест PHP и HTTP"), ("поезд о чем", "поезд о чем"), ("see Москва", "see Москва"), ("Ζoο dog", "Zoo dog"), ("dа́ta", "dáta"),
+        ("ᏣᎳᎩ ᏗᎦᏬᏂ", "ᏣᎳᎩ ᏗᎦᏬᏂ"), ("Հայաստան", "Հայաստան"), ("東京 tоkyo", "東京 tokyo"),
+    ],
+)
+def test_words_keep_their_script(text, want):
+    assert canonical(text) == [unicodedata.normalize("NFC", want)]
+
+
+@pytest.mark.parametrize("texts", [("Москва", "Mосквa"), ("code", "соԁе"), ("Ꭱed", "Red"), ("ϲ", "c", "с"), ("ёлка", "ëлка")])
+def test_skeletons_are_equal(texts):
+    assert len(set(canonical(*texts, skeleton=True))) == 1
+
+
 @pytest.mark.parametrize("a, b", DIFFERENT)
 def test_not_alike(a, b):
     assert len(set(canonical(a, b))) == 2
 
 
 def test_tables_are_pairs():
-    assert all(len(a) == len(b) for a, b in LOOKALIKES)
+    assert all(len(a) == len(b) for a, b in (*LOOKALIKES, *OTHER_SCRIPTS.values()))
 
 
 def plain(text):
@@ -45,7 +62,7 @@ alphabet = st.characters(codec="utf-8", categories=("Ll", "Lu", "Mn", "Nd"), max
 @given(st.lists(st.text(alphabet, max_size=30), max_size=8))
 @settings(max_examples=150, deadline=None)
 def test_equals_normal_form(texts):
-    skip = {c for t in texts for c in t if unicodedata.normalize("NFKC", c) != unicodedata.normalize("NFC", c) or 0x34F == ord(c) or c in "ɑɡ"}
+    skip = {c for t in texts for c in t if unicodedata.normalize("NFKC", c) != unicodedata.normalize("NFC", c) or 0x34F == ord(c) or c in "ɑɡıɩʏ"}
     texts = ["".join(c for c in t if c not in skip) for t in texts]
     want = [plain(t) for t in texts]
     got = canonical(*texts)
@@ -73,12 +90,33 @@ def test_columns_nulls_and_long_texts(spark):
 def test_pairs_equal_brute_force(spark):
     rows = [(1, "A b"), (2, "А b"), (3, "A b"), (4, "A b"), (5, None), (6, ""), (7, "​"), (8, "same"), (9, "same"), (None, "A b"), (10, "x²"), (11, "x2")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    forms = dict(zip((i for i, _ in rows), canonical(*(t for _, t in rows)), strict=True))
+    forms = dict(zip((i for i, _ in rows), canonical(*(t for _, t in rows), skeleton=True), strict=True))
     want = {(a, b) for a, x in rows for b, y in rows if a is not None and b is not None and a < b and x is not None and y is not None and x != y and forms[a] == forms[b]}
     assert {tuple(r) for r in lookalike_pairs(df, "doc_id", "text").collect()} == want == {(1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (6, 7)}
     assert lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_classes_equal_pairs(spark):
+    rows = [(1, "A b"), (2, "А b"), (3, "Ａ b"), (4, "A b"), (5, None), (6, ""), (7, "​"), (8, "same"), (9, "same"), (None, "A b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r["class"], r.n_spellings, r.n_links) for r in lookalike_classes(df, "doc_id", "text").collect()}
+    links = {}
+    for a, b in lookalike_pairs(df, "doc_id", "text").collect():
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+        assert got[a][0] == got[b][0]
+    # a row without a key counts in its class, in no pair
+    assert {i: n for i, (_, _, n) in got.items()} == links and got[1][1] == 3 and got[6][1] == 2
+    assert lookalike_classes(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_many_spellings_of_one_form(spark):
+    letters = ["aа", "eе", "oо", "pр", "cс", "xх"]
+    texts = ["".join(x[i >> k & 1] for k, x in enumerate(letters)) for i in range(64)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert lookalike_pairs(df, "doc_id", "text").count() == 64 * 63 // 2
+    assert {r.n_links for r in lookalike_classes(df, "doc_id", "text").collect()} == {63}
+
+
 def test_many_copies_of_one_spelling(spark):
     rows = [(i, "same text") for i in range(20_000)] + [(20_000, "ѕame text"), (20_001, "other")]
     got = lookalike_pairs(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
