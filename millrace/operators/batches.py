@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text in a piece; a single longer text is a piece of its own.
 PIECE_BYTES = 4 << 20
+#: Keys that a task remembers to skip repeated rows early; what is left of the repetition is dropped by the shuffle after it.
+REMEMBERED = 200_000
 
 
 def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
