@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
+from ..operators.batches import REMEMBERED
 from ..operators.batches import pieces as batch_pieces
 from .tokens import TOKENIZER_DIR, TOKENIZER_FILE, encoding
 
@@ -127,6 +128,8 @@ def text_pieces(
                 fresh = []
                 for i, pair in enumerate(zip(keys, hashes, strict=True)):
                     if pair not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
                         seen.add(pair)
                         fresh.append(i)
                 rows: list[tuple] = []

@@ -2,10 +2,11 @@
 
 Lines are split and screened inside Arrow by one linear-time pattern, over whole files. On the lines that are left,
 candidate values are cut out together with their context (the name they are assigned to, the key of an environment
-lookup, a URL, a header, a command, a remark). The characters per subword under a public vocabulary tell unnatural
-strings from words; context rules then decide: an unnatural string needs some credential context, a word-like one
-(``frosthammer13``) a context that names a secret. Redaction replaces value characters one for one, so that every
-offset, quote and line of the surrounding code stays.
+lookup, a URL, a header, a command, a remark). All values of a batch are scored at once by their characters per subword
+under a public vocabulary; the context then sets how natural a value may be: any credential context takes an unnatural
+string, one that names a secret also words run together (``frosthammer13``), none takes a plain word. Only strings whose
+shape or syntax leaves no doubt (``SHAPES``, private keys, passwords in URLs and basic headers) need no score. Redaction
+replaces value characters one for one, so that every offset, quote and line of the surrounding code stays.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import ship
-from ..operators.batches import pieces
+from ..operators.batches import REMEMBERED, pieces
 from .tokens import TOKENIZER_DIR, TOKENIZER_FILE, chars_per_token
 
 #: Strings with fewer characters per subword than this are unnatural; longer ones are made of words.
 UNNATURAL = 2.4
+#: Where the context names a secret, strings with fewer characters per subword than this are taken; plain words have more.
+WORD_LIKE = 5.0
 
 #: Words of a name that say its value is secret.
 SECRET_WORDS = (
@@ -99,6 +102,8 @@ _PLACEHOLDER = re.compile(
     r"|(?:^|[-_. ])(?:your|my|some)[-_. ]|(?:^|[-_. ])(?:insert|enter|replace|change|todo|tbd|fixme|example|sample|dummy|placeholder|redacted|removed|unset|none|null|nil|undefined)(?:$|[-_. ])"
     r"|changeme|replace_?me|xxxx|\.\.\.|^(?:true|false|null|none|nil|unset|default|disabled|enabled|password|secret|token|apikey|api_key)$|EXAMPLE$"
 )
+#: Places that a template fills.
+_FILLED = re.compile(r"\$\{[^}]*\}|\{\{.*?\}\}|\$\([^)]*\)|#\{[^}]*\}|<[^>]*>|%[sdv@]")
 _CALL = re.compile(r"^[A-Za-z_$][\w$.>:-]*\(.*\)$|^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$")
 _MEMBER = re.compile(r"^[A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)+(?:\(.*\)?)?;?$")
 
@@ -133,17 +138,32 @@ def placeholder(value: str) -> bool:
     return bool(_PLACEHOLDER.search(value)) or len(set(value)) < 4
 
 
-def plausible(value: str, cpt: float, quoted: bool, strong: bool) -> bool:
-    """Whether a value can be a live secret. cpt: characters per subword; strong: the context names a secret."""
+def template(value: str) -> bool:
+    """Whether the value has a place to fill in."""
+    return bool(_FILLED.search(value))
+
+
+def _kinds(value: str) -> tuple[bool, bool, bool, bool]:
+    return tuple(bool(re.search(p, value)) for p in (r"\d", r"[a-z]", r"[A-Z]", r"[^A-Za-z0-9_]"))
+
+
+def plausible(value: str, cpt: float, quoted: bool, strong: bool, rest: tuple[str, float] | None = None) -> bool:
+    """Whether a value can be a live secret. cpt: characters per subword; strong: the context names a secret.
+
+    rest: of a value that looks like a template, what lies outside the places to fill in, and its characters per
+    subword. A random password may well hold ``%s``: its rest is as unnatural as the whole.
+    """
+    if rest is not None and not placeholder(rest[0]) and len(rest[0]) >= 8 and rest[1] < UNNATURAL and sum(_kinds(rest[0])[:3]) >= 3:
+        return strong and not re.search(r"\s", value)
     if len(value) < 6 or placeholder(value) or re.search(r"\s", value):
         return False
     if _CALL.match(value) or not quoted and _MEMBER.match(value) and not re.search(r"\d\d;?$", value):
         return False
-    digit, lower, upper, special = (bool(re.search(p, value)) for p in (r"\d", r"[a-z]", r"[A-Z]", r"[^A-Za-z0-9_]"))
+    digit, lower, upper, special = _kinds(value)
     kinds = digit + (lower or upper) + special
     if len(value) >= 8 and (cpt < UNNATURAL and (kinds >= 2 or len(value) >= 16) or cpt < 2.0 and lower and upper):
         return True
-    return strong and kinds >= 2 and (digit or special and cpt < 3.2 and len(value) >= 8)
+    return strong and cpt < WORD_LIKE and kinds >= 2 and (digit or special and cpt < 3.2 and len(value) >= 8)
 
 
 @dataclass(frozen=True)
@@ -266,19 +286,33 @@ def find(texts: list[str], folder: str = TOKENIZER_DIR, vocabulary: str = TOKENI
             whole[k] = texts[k].split("\n")
         for c in candidates(whole[k], i - int(offsets[k])):
             asked.append((k, c))
-    cpt = chars_per_token([c.value for _, c in asked], folder, vocabulary)
-    for (k, c), ratio in zip(asked, cpt, strict=True):
-        if c.sure and not placeholder(c.value) or not c.sure and plausible(c.value, ratio, c.quoted, c.strong):
+    rests = {c.value: _FILLED.sub("", c.value) for _, c in asked if template(c.value)}
+    values = list({c.value for _, c in asked} | set(rests.values()))
+    cpt = dict(zip(values, chars_per_token(values, folder, vocabulary), strict=True))
+    for k, c in asked:
+        rest = (rests[c.value], cpt[rests[c.value]]) if c.value in rests else None
+        if c.sure and not placeholder(c.value) or not c.sure and plausible(c.value, cpt[c.value], c.quoted, c.strong, rest):
             found[k].append(c)
     return [_distinct(x) for x in found]
 
 
 def _distinct(found: list[Candidate]) -> list[Candidate]:
-    """Without those that lie within another one."""
+    """Without those that overlap an earlier one, or begin in a piece of one that goes over several lines."""
     out: list[Candidate] = []
+    line, end = -1, 0
+    pieces_of: dict[int, list[tuple[int, int]]] = {}
     for c in sorted(found, key=lambda c: (c.line, c.start, -c.end)):
-        if not any(o.line == c.line and o.start < c.end and c.start < o.end or any(a == c.line and b <= c.start < e for a, b, e in o.more) for o in out[-8:]):
-            out.append(c)
+        if c.line != line:
+            line, end = c.line, 0
+        if c.start < end or any(b <= c.start < e for b, e in pieces_of.get(line, ())):
+            continue
+        out.append(c)
+        end = max(end, c.end)
+        for at, b, e in c.more:
+            if at == line and b <= end:
+                end = max(end, e)
+            else:
+                pieces_of.setdefault(at, []).append((b, e))
     return out
 
 
@@ -320,6 +354,8 @@ def credentials(df: DataFrame, path: str, content: str, redacted: bool = False,
                 fresh = []
                 for i, key in enumerate(zip(names, hashes, strict=True)):
                     if key not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
                         seen.add(key)
                         fresh.append(i)
                 if not fresh:

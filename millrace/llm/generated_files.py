@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize, ship
-from ..operators.batches import pieces
+from ..operators.batches import REMEMBERED, pieces
 
 FEATURES = (
     "compression_ratio",  # compressed bytes to bytes of the body
@@ -193,6 +193,8 @@ def file_features(df: DataFrame, path: str, content: str, repo: str | None = Non
                 fresh = []
                 for i, key in enumerate(zip(names, hashes, strict=True)):
                     if key not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
                         seen.add(key)
                         fresh.append(i)
                 if not fresh:

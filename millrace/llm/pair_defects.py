@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from ..operators.batches import pieces
+from ..operators.batches import REMEMBERED, pieces
 
 # ---------------------------------------------------------------------------------------------------------------- text
 
@@ -283,8 +283,6 @@ LEAST_PREFIX = 40
 TAIL = " \t\r\n.…"
 #: Ranges of the sort for each shuffle partition, texts sampled for each range, and most characters of a range's bound.
 RANGES, RANGE_SAMPLE, BOUND_CHARS = 4, 10, 20_000
-#: Hashes that a task remembers to drop repeated texts early; what is left of the repetition meets in the sort.
-REMEMBERED = 200_000
 
 
 def core(text: str | Column) -> Column:
