@@ -4,9 +4,10 @@ Each distinct file is described by numbers that don't depend on its words: how w
 tokens, the lengths of its identifiers, the share of comments, and how much of it is literal data or lines of one
 pattern. A random forest learns from them which files weren't written by hand. Its labels come from notices comment
 lines (``Code generated by ...``; mostly in the header) and in the file name (``.min.``, ``.pb.``); header, notices and
-name are hidden from the features, so that the forest also finds the files that lost their notice. Copies of other projects look
-like any hand-written code; they are told by a notice of their origin, by a third-party folder, or by recurring in
-several repositories.
+name are hidden from the features, so that the forest also finds the files that lost their notice, and minified ones. Two kinds
+are decided by an exact check: copies of other projects look like any hand-written code, so a notice of their origin, a
+third-party folder, or recurring in several repositories tells them; and data saved as code has no notices to learn
+from, so the share of the text that is data tells it.
 """
 
 from __future__ import annotations
@@ -215,8 +216,6 @@ def file_features(df: DataFrame, path: str, content: str, repo: str | None = Non
 MAINLY_DATA = 0.75
 #: Parts that the files of one content are spread over in a join.
 SALTS = 16
-#: Minified by the numbers: hardly any white space between names of one or two characters.
-MINIFIED = {"space_share": 0.1, "identifier_short": 0.8}
 #: Bound of the sample that the forest is fitted on; both classes are sampled at one rate, so their shares stay.
 SAMPLE = 20_000
 #: Weight of a file with a notice; of those without one many only lost theirs.
@@ -229,10 +228,6 @@ def _feature(name: str):
     return F.col("features")[FEATURES.index(name)]
 
 
-def _minified():
-    return (_feature("space_share") <= MINIFIED["space_share"]) & (_feature("identifier_short") >= MINIFIED["identifier_short"]) & (_feature("token_entropy") > 0)
-
-
 def fit_forest(files: DataFrame, sample: int = SAMPLE, trees: int = 60, depth: int = 8, seed: int = 7):
     """A random forest over the labelled files of ``file_features``; None where one of the classes has no file.
 
@@ -246,7 +241,7 @@ def fit_forest(files: DataFrame, sample: int = SAMPLE, trees: int = 60, depth: i
 
     known = (
         files.where((F.col("notice") != 2) & ~F.col("third_party") & (_feature("literal_share") < MAINLY_DATA))
-        .select("body_hash", "features", ((F.col("notice") == 1) | F.col("name_notice") | _minified()).cast("double").alias("label"))
+        .select("body_hash", "features", ((F.col("notice") == 1) | F.col("name_notice")).cast("double").alias("label"))
         .groupBy("body_hash")
         .agg(F.max("label").alias("label"), F.first("features").alias("features"))
     )
@@ -268,9 +263,9 @@ def fit_forest(files: DataFrame, sample: int = SAMPLE, trees: int = 60, depth: i
 def not_handwritten(df: DataFrame, path: str, content: str, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """Distinct files that weren't written by hand for their repository: ``path, reason, probability``.
 
-    ``reason`` is ``generated`` (a notice), ``vendored`` (a notice of origin, a third-party folder, or the same content in
-    several repositories), ``data``, ``minified``, or ``forest`` where only the forest says so. Null contents give nothing, an empty
-    file no case; rows that repeat a file count once; other columns are ignored; an empty table gives an empty one.
+    ``reason`` is ``vendored`` (a notice of origin, a third-party folder, or the same content in several repositories), ``data``
+    (by its share), ``forest`` where the forest's probability says so, or ``notice`` of files that have a notice of generation but
+    look like any other to the forest; ``probability`` is the forest's in any case. Null contents give nothing, an empty file no case; rows that repeat a file count once; other columns are ignored; an empty table gives an empty one.
 
     One pass over the text writes a row of numbers for each file; all else runs on these. Repeated contents are found by a
     map-side combined min and max of the repository, so a content that a third of all files has is no hot group.
@@ -289,10 +284,9 @@ def not_handwritten(df: DataFrame, path: str, content: str, sample: int = SAMPLE
     recurring = recurring.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     scored = scored.withColumn("salt", F.pmod(F.hash(path), F.lit(SALTS)))
     reason = (
-        F.when(F.col("notice") == 1, "generated")
+        F.when((F.col("probability") >= threshold) & (entropy > 0), "forest")
+        .when(F.col("notice") == 1, "notice")
         .when((F.col("notice") == 2) | F.col("third_party") | F.col("recurs"), "vendored")
         .when(_feature("literal_share") >= MAINLY_DATA, "data")
-        .when(_minified(), "minified")
-        .when((F.col("probability") >= threshold) & (entropy > 0), "forest")
     )
     return scored.join(recurring, ["body_hash", "salt"], "left").select(path, reason.alias("reason"), F.round("probability", 6).alias("probability")).where("reason IS NOT NULL")
