@@ -219,7 +219,7 @@ SALTS = 16
 #: Bound of the sample that the forest is fitted on; both classes are sampled at one rate, so their shares stay.
 SAMPLE = 20_000
 #: Weight of a file with a notice; of those without one many only lost theirs.
-LABEL_WEIGHT = 2.0
+LABEL_WEIGHT = 3.0
 #: In the second fit a file keeps its label if the first fit gives it at least this (with a notice) or less (without).
 RELIABLE = 0.2
 

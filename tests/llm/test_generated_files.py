@@ -72,7 +72,7 @@ def corpus(rng, n):
 
 
 def test_held_out_accuracy(spark):
-    rows, truth = corpus(np.random.default_rng(8), 700)
+    rows, truth = corpus(np.random.default_rng(8), 1400)
     df = spark.createDataFrame([*rows, *rows[:50], ("r1/src/null.go", None, 0), ("r1/src/empty.go", "", 0), ("r2/src/empty.go", "", 0)], "file_path string, file_content string, reason int").repartition(5)
     got = {r.file_path: r.reason for r in not_handwritten(df, "file_path", "file_content").collect()}
     found = set(got)
