@@ -8,6 +8,7 @@ Patterns match without regard to case, within lines.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ class Rule:
     patterns: tuple[str, ...] = ()
     also: tuple[str, ...] = ()  # of these, one must occur, too
     on_code: bool = False
-    codes: str = ""  # instead of patterns: the first error code of the log is one of these
+    codes: tuple[str, ...] = ()  # instead of patterns: the first error code of the log is one of these
+    first_line: tuple[str, ...] = ()  # of these, one must occur in the first error line
 
     @property
     def pattern(self) -> str:
@@ -38,11 +40,17 @@ class Rule:
 
 
 #: Fixed value: where a log of Rust has an error code.
-ERROR_CODE = r"error\[E(\d+)\]"
+ERROR_CODE = r"error\[(E\d+)\]"
 #: Error codes of Rust by kind.
-RUST_BORROW, RUST_LIFETIME = "0382 0502 0499 0503 0505 0596", "0106 0621 0623"
-RUST_TYPES, RUST_MEMORY = "0308 0277 0282 0283 0369 0061 0063", "0507 0594"
-RUST_UNDEFINED, RUST_SYNTAX = "0425 0412 0433 0432 0599 0609", "0423 0424 0426 0428"
+RUST_BORROW = ("E0382", "E0502", "E0499", "E0503", "E0505", "E0596")
+RUST_LIFETIME = ("E0106", "E0621", "E0623")
+RUST_TYPES = ("E0308", "E0277", "E0282", "E0283", "E0369", "E0061", "E0063")
+RUST_MEMORY = ("E0507", "E0594")
+RUST_UNDEFINED = ("E0425", "E0412", "E0433", "E0432", "E0599", "E0609")
+RUST_SYNTAX = ("E0423", "E0424", "E0426", "E0428")
+
+#: Texts of a panic in Go.
+GO_PANIC = ("panic:", "runtime error:", "nil pointer dereference", "index out of range", "send on closed channel", "receive on closed channel", "goroutine.*panic")
 
 _GO, _RS, _JL, _PHP, _RB = ("go",), ("rust",), ("julia",), ("php",), ("ruby",)
 _C, _T, _P = ("compile",), ("test",), ("pass",)
@@ -50,7 +58,7 @@ _C, _T, _P = ("compile",), ("test",), ("pass",)
 #: The rules, in order, by language and stage.
 RULES: list[Rule] = [
     # Go, compilation failed: unknown names, then types, then syntax
-    Rule(_GO, _C, API, 0.85, ("undefined:", "not defined", "undeclared name")),
+    Rule(_GO, _C, API, 0.85, ("undefined:", "not defined", "undeclared name"), first_line=("undefined", "not defined", "undeclared")),
     Rule(_GO, _C, API, 0.90, ("cannot find package", "no required module")),
     Rule(_GO, _C, API, 0.80, ("cannot refer to unexported", "unexported field")),
     Rule(_GO, _C, API, 0.75, tuple(UNDEFINED)),
@@ -61,20 +69,21 @@ RULES: list[Rule] = [
     # Go, test failed
     Rule(_GO, _T, TYPES, 0.80, ("cannot use.*as.*in", "cannot convert", "type.*is not an expression", "invalid operation", "mismatched types")),
     Rule(_GO, _T, TYPES, 0.90, ("does not implement", "missing method", "interface conversion")),
-    Rule(_GO, _T, TYPES, 0.85, ("panic:", "runtime error:", "nil pointer dereference", "index out of range", "send on closed channel", "receive on closed channel", "goroutine.*panic"), ("type", "interface")),
+    Rule(_GO, _T, TYPES, 0.85, GO_PANIC, ("type", "interface")),
     Rule(_GO, _T, LOGIC, 0.90, ("FAIL:", "--- FAIL:", "test.*failed")),
+    Rule(_GO, _T, LOGIC, 0.85, GO_PANIC, first_line=tuple(ASSERTION)),
     Rule(_GO, _T, LOGIC, 0.80, tuple(ASSERTION)),
     Rule(_GO, _P, DESIGN, 0.50, ('if.*!=.*"hardcoded"', r"t\.Errorf.*expected.*123"), on_code=True),
     # Rust
     Rule(_RS, _C, API, 0.85, codes=RUST_UNDEFINED),
     Rule(_RS, _C, API, 0.80, ("unresolved import", "failed to resolve", "no.*in scope")),
     Rule(_RS, _C, API, 0.75, tuple(UNDEFINED)),
-    Rule(_RS, _C, TYPES, 0.95, codes=f"{RUST_BORROW} {RUST_LIFETIME} {RUST_TYPES} {RUST_MEMORY}"),
+    Rule(_RS, _C, TYPES, 0.95, codes=RUST_BORROW + RUST_LIFETIME + RUST_TYPES + RUST_MEMORY),
     Rule(_RS, _C, TYPES, 0.90, ("borrow of moved value", "cannot borrow.*as mutable", "use of moved value", "cannot move out of", "lifetime.*required", "missing lifetime specifier", "explicit lifetime")),
     Rule(_RS, _C, TYPES, 0.85, ("mismatched types", "expected.*found", "trait.*not implemented", "type annotations? (?:needed|required)")),
     Rule(_RS, _C, SYNTAX, 0.95, codes=RUST_SYNTAX),
     Rule(_RS, _C, SYNTAX, 0.85, ("unexpected token", "expected.*found", "parse error", "syntax error", "macro.*not found", "cannot find macro")),
-    Rule(_RS, _T, TYPES, 0.80, codes=f"{RUST_BORROW} {RUST_LIFETIME} {RUST_TYPES} {RUST_MEMORY}"),
+    Rule(_RS, _T, TYPES, 0.80, codes=RUST_BORROW + RUST_LIFETIME + RUST_TYPES + RUST_MEMORY),
     Rule(_RS, _T, TYPES, 0.90, ("borrow of moved value", "cannot borrow.*as mutable", "use of moved value", "cannot move out of", "lifetime.*required", "missing lifetime specifier", "explicit lifetime")),
     Rule(_RS, _T, TYPES, 0.85, ("mismatched types", "expected.*found", "trait.*not implemented", "type annotations? (?:needed|required)")),
     Rule(_RS, _T, LOGIC, 0.90, ("assertion failed", "assert_eq!", "assert!")),
@@ -135,15 +144,17 @@ def classify(language: str | Column, log: str | Column, test_code: str | Column,
     def result(category: str, confidence: float) -> Column:
         return F.struct(F.lit(category).alias("category"), F.lit(confidence).alias("confidence"))
 
-    low = F.lower(text)
+    low, error_line = F.lower(text), F.lower(first_error_line(log))
     out = F.when(F.contains(low, F.lit("preprocessing")) & F.contains(low, F.lit("no tests generated")), result(SYNTAX, 0.85))
     out = out.when((code == "") | ((text == "") & check.isNull()), result(SYNTAX, 0.80))
     least = F.when(language == "ruby", 1).otherwise(0)
     out = out.when((stage == "pass") & F.coalesce(check["coverage"], F.lit(False)) & (coverage_stat["covered_lines"] <= least), result(DESIGN, 0.65))
     for r in rules:
-        hit = F.regexp_extract(text, ERROR_CODE, 1).isin(*r.codes.split()) if r.codes else (code if r.on_code else text).rlike(r.pattern)
+        hit = F.regexp_extract(text, ERROR_CODE, 1).isin(*r.codes) if r.codes else (code if r.on_code else text).rlike(r.pattern)
         if r.also:
             hit = hit & text.rlike("(?i)" + "|".join(f"(?:{p})" for p in r.also))
+        if r.first_line:
+            hit = hit & reduce(lambda a, b: a | b, [F.contains(error_line, F.lit(w)) for w in r.first_line])
         out = out.when(language.isin(*r.languages) & stage.isin(*r.stages) & hit, result(r.category, r.confidence))
     out = out.when((stage == "compile") & (text != ""), result(SYNTAX, 0.5)).when(stage == "compile", result(SYNTAX, 0.3))
     return out.when((stage == "test") & ((text != "") | ~language.isin(*SILENT_WITHOUT_LOG)), result(LOGIC, 0.5))

@@ -260,25 +260,71 @@ def without_comments(code: str | Column, language: str | Column) -> Column:
     return F.array_join(F.filter(F.transform(stripped, lambda s: rstrip(s)), lambda s: strip(s) != ""), "\n")
 
 
-#: Words of tests, by which blocks of a response are told.
-TEST_WORDS = ("func Test", "#[test]", "@test", "TestCase", "describe", "it '", 'it "', "assert", "expect")
+#: Words of tests by language, by which blocks and lines of a response are told.
+TEST_KEYWORDS = {
+    "ruby": ("Test", "describe", "it ", "expect", "assert", "should"),
+    "julia": ("@test", "@testset", "Test", "using Test"),
+    "go": ("func Test", "testing.T", 'import "testing"'),
+    "rust": ("#[test]", "#[cfg(test)]", "mod tests", "assert!", "assert_eq!"),
+    "php": ("class Test", "function test", "PHPUnit", "assert"),
+}
+#: How a line of explanation begins, trimmed and in lower case.
+EXPLANATION_STARTS = (r"here['s\s]", r"this\s+(?:code|test|function)", r"the\s+(?:code|test|function)", "explanation:", "note:", "example:", "usage:", r"\d+\.", r"[-*]\s")
+#: What a line of code has, trimmed.
+CODE_SIGNS = (r"^def\s+", r"^function\s+", r"^class\s+", r"^import\s+", r"^require\s+", r"^using\s+", r"^package\s+", r"^#\[", "^@", r"[=(){}\[\];]")
+#: Fixed value: a fenced block with any tag.
+ANY_FENCE = r"(?s)```\w*\s*\n(.*?)```"
 
 
-def best_block(response: str | Column) -> Column:
-    """The first fenced block (any tag) with words of a test, else the longest one, else the response, trimmed (TXT-04)."""
-    r = col(response)
-    found = F.regexp_extract_all(r, F.lit(r"(?s)```[A-Za-z+#]*[ \t]*\r?\n(.*?)```"), F.lit(1))
-    tests = F.filter(found, lambda b: reduce(lambda x, y: x | y, [F.contains(b, F.lit(w)) for w in TEST_WORDS]))
-    longest = F.array_max(F.transform(found, lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b"))))["b"]
-    return strip(F.coalesce(F.get(tests, F.lit(0)), longest, r))
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def is_explanation(line: Column) -> Column:
+    """Whether a line explains code rather than being code."""
+    return F.lower(strip(line)).rlike("^(?:" + "|".join(EXPLANATION_STARTS) + ")")
+
+
+def has_test_keyword(text: Column, language: Column) -> Column:
+    """Whether a text has a word of tests of the language; false for unknown languages."""
+    return _any([(language == lang) & _any([F.contains(text, F.lit(w)) for w in words]) for lang, words in TEST_KEYWORDS.items()])
 
 
-def test_score(code: str | Column) -> Column:
-    """How much a text looks like a test (TXT-05): 0.6 for a test definition, 0.3 for an assertion, 0.1 for over 50 characters."""
-    c = col(code)
-    definition = c.rlike(r"func Test\w*\(|#\[test\]|@testset|@test\b|extends\s+\S*TestCase|\bdescribe\b|\bdef test_|\bit ['\"]")
-    assertion = c.rlike(r"(?i)assert|expect|t\.(Error|Fatal)|@test\b")
-    return F.when(definition, 0.6).otherwise(0.0) + F.when(assertion, 0.3).otherwise(0.0) + F.when(F.length(c) > 50, 0.1).otherwise(0.0)
+def _cleaned(parts: Column) -> Column:
+    """Lines put together without explanations and white space at their ends, two blank lines in a row at most, trimmed."""
+    kept = F.filter(F.transform(parts, lambda s: rstrip(s)), lambda s: ~is_explanation(s))
+    return strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+
+
+def best_block(response: str | Column, language: str | Column) -> Column:
+    """Test code in a response (TXT-04); null gives ''.
+
+    The first fenced block (any tag) with a word of tests of the language, else the longest one, the first of equals;
+    without a block the lines from the first one that looks like code on. Lines that explain are left out in any case. Of an
+    unknown language the longest block, else the response, both only trimmed.
+    """
+    r = F.coalesce(col(response), F.lit(""))
+    language = F.coalesce(F.lower(F.trim(col(language))), F.lit(""))
+    found = F.regexp_extract_all(r, F.lit(ANY_FENCE), F.lit(1))
+    longest = F.array_max(F.transform(found, lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b"))))["b"]
+    first = F.get(F.filter(found, lambda b: has_test_keyword(b, language)), F.lit(0))
+    lines_ = F.split(r, "\n", -1)
+    told = F.filter(lines_, lambda s: ~is_explanation(s))
+    begin = F.array_position(F.transform(told, lambda s: (strip(s) != "") & (has_test_keyword(s, language) | strip(s).rlike("|".join(CODE_SIGNS)))), True)
+    raw = F.when(begin > 0, F.slice(told, F.greatest(begin, F.lit(1)).cast("int"), F.greatest(F.size(told), F.lit(1)))).otherwise(lines_)
+    known = language.isin(*TEST_KEYWORDS)
+    return F.when(~known, strip(F.coalesce(longest, r))).otherwise(_cleaned(F.coalesce(F.split(F.coalesce(first, longest), "\n", -1), raw)))
+
+
+def test_score(code: str | Column, language: str | Column) -> Column:
+    """How surely a text is test code (TXT-05): 0.6 for a word of tests of the language, 0.3 for three lines or more that aren't
+    blank, 0.1 if the first line doesn't explain; 0 for blank and null code, 0.5 for other languages. From 0.5 on it is valid."""
+    c = F.coalesce(col(code), F.lit(""))
+    language = F.coalesce(F.lower(F.trim(col(language))), F.lit(""))
+    parts = F.split(c, "\n", -1)
+    long_ = F.size(F.filter(parts, lambda s: strip(s) != "")) >= 3
+    points = F.when(has_test_keyword(c, language), 6).otherwise(0) + F.when(long_, 3).otherwise(0) + F.when(is_explanation(parts[0]), 0).otherwise(1)
+    return F.when(strip(c) == "", 0.0).when(~language.isin(*TEST_KEYWORDS), 0.5).otherwise(points / 10.0)
 
 
 def is_test_path(path: str | Column, path_parts: tuple[str, ...] = ("/tests/", "/test/", "/spec/"), name_parts: tuple[str, ...] = ("_test.", "test_", "_spec.", ".spec.", ".test.")) -> Column:

@@ -400,18 +400,22 @@ def _classify_sql() -> str:
     ]
     for r in errors.RULES:
         if r.codes:
-            hit = f"regexp_extract(t, {quoted(errors.ERROR_CODE)}, 1) IN ({', '.join(map(quoted, r.codes.split()))})"
+            hit = f"regexp_extract(t, {quoted(errors.ERROR_CODE)}, 1) IN ({', '.join(map(quoted, r.codes))})"
         else:
             hit = f"regexp_matches({'code' if r.on_code else 't'}, {quoted(r.pattern)})"
         if r.also:
             hit += f" AND regexp_matches(t, {quoted('(?i)' + '|'.join(f'(?:{p})' for p in r.also))})"
+        if r.first_line:
+            hit += " AND (" + " OR ".join(f"contains(lower(error_line), {quoted(w)})" for w in r.first_line) + ")"
         whens.append(f"WHEN language = '{r.languages[0]}' AND stage = '{r.stages[0]}' AND {hit} THEN {{'category': '{r.category}', 'confidence': {r.confidence}::DOUBLE}}")
     whens += [
         "WHEN stage = 'compile' AND t <> '' THEN {'category': 'syntactic_compilation', 'confidence': 0.5::DOUBLE}",
         "WHEN stage = 'compile' THEN {'category': 'syntactic_compilation', 'confidence': 0.3::DOUBLE}",
         "WHEN stage = 'test' AND (t <> '' OR language NOT IN ('julia', 'php', 'ruby')) THEN {'category': 'logic_assertion', 'confidence': 0.5::DOUBLE}",
     ]
-    return f"""WITH {_LOGS}, q AS (SELECT *, coalesce(log, '') AS t, coalesce(test_code, '') AS code,
+    error_line = f"""coalesce(list_filter(list_transform(string_split(coalesce(log, ''), chr(10)), lambda s: trim(s, {WHITE})), lambda s: regexp_matches(lower(s), 'error|failed|exception|panic|fatal'))[1],
+        list_filter(list_transform(string_split(coalesce(log, ''), chr(10)), lambda s: trim(s, {WHITE})), lambda s: s <> '')[1], '')[1:200]"""
+    return f"""WITH {_LOGS}, q AS (SELECT *, coalesce(log, '') AS t, {error_line} AS error_line, coalesce(test_code, '') AS code,
         CASE WHEN NOT coalesce(c.compilation, false) THEN 'compile' WHEN NOT coalesce(c.tests, false) THEN 'test' ELSE 'pass' END AS stage FROM p),
         e AS (SELECT result_id, task_id, position, log, CASE {" ".join(whens)} END AS r FROM q)"""
 

@@ -102,20 +102,33 @@ def capped_tests(spark: SparkSession, sf: str) -> DataFrame:
     return _responses(spark, sf).select("response_id", F.size(t).alias("n_tests"), F.md5(F.get(t, F.lit(0))).alias("first_md5"))
 
 
-_WORDS = " OR ".join("contains(b, '{}')".format(w.replace("'", "''")) for w in text.TEST_WORDS)
-
-
-@query(rf"""WITH f AS (SELECT response_id, response, regexp_extract_all(response, '(?s)```[A-Za-z+#]*[ \t]*\r?\n(.*?)```', 1) AS x FROM generation_result WHERE response IS NOT NULL),
-    l AS (SELECT *, list_filter(x, lambda b: {_WORDS})[1] AS test, list_max(list_transform(x, lambda b: length(b))) AS n FROM f)
-    SELECT response_id, md5(trim(coalesce(test, list_filter(x, lambda b: length(b) = n)[1], response), {WHITE})) AS block_md5 FROM l""")
+#: Words of tests, explanations and signs of code as in the SQL dialect.
+_KEYWORD = """(CASE language WHEN 'ruby' THEN contains({0}, 'Test') OR contains({0}, 'describe') OR contains({0}, 'it ') OR contains({0}, 'expect') OR contains({0}, 'assert') OR contains({0}, 'should')
+    WHEN 'julia' THEN contains({0}, '@test') OR contains({0}, 'Test') WHEN 'go' THEN contains({0}, 'func Test') OR contains({0}, 'testing.T') OR contains({0}, 'import "testing"')
+    WHEN 'rust' THEN contains({0}, '#[test]') OR contains({0}, '#[cfg(test)]') OR contains({0}, 'mod tests') OR contains({0}, 'assert!') OR contains({0}, 'assert_eq!')
+    WHEN 'php' THEN contains({0}, 'class Test') OR contains({0}, 'function test') OR contains({0}, 'PHPUnit') OR contains({0}, 'assert') ELSE false END)"""
+_EXPLAINS = rf"""regexp_matches(lower(trim({{0}}, {WHITE})), '^(here[''s\s]|(this|the)\s+(code|test|function)|explanation:|note:|example:|usage:|\d+\.|[-*]\s)')"""
+_CODE = rf"""(trim({{0}}, {WHITE}) <> '' AND ({_KEYWORD} OR regexp_matches(trim({{0}}, {WHITE}), '^(def|function|class|import|require|using|package)\s+|^#\[|^@|[=(){{{{}}}}\[\];]')))"""
+
+
+@query(rf"""WITH f AS (SELECT response_id, response, {LANG} AS language, regexp_extract_all(response, '(?s)```\w*\s*\n(.*?)```', 1) AS x FROM generation_result WHERE response IS NOT NULL),
+    b AS (SELECT *, list_filter(x, lambda b: {_KEYWORD.format("b")})[1] AS first, list_max(list_transform(x, lambda b: length(b))) AS n FROM f),
+    c AS (SELECT *, list_filter(x, lambda b: length(b) = n)[1] AS longest, string_split(response, chr(10)) AS own, list_filter(string_split(response, chr(10)), lambda s: NOT {_EXPLAINS.format("s")}) AS told FROM b),
+    d AS (SELECT *, list_position(list_transform(told, lambda s: {_CODE.format("s")}), true) AS begins FROM c),
+    e AS (SELECT *, CASE WHEN len(x) > 0 THEN string_split(coalesce(first, longest), chr(10)) WHEN coalesce(begins, 0) > 0 THEN told[begins:] ELSE own END AS kept FROM d)
+    SELECT response_id, md5(CASE WHEN language NOT IN ('ruby', 'julia', 'go', 'rust', 'php') OR language IS NULL THEN trim(coalesce(longest, response), {WHITE})
+        ELSE trim(regexp_replace(array_to_string(list_filter(list_transform(kept, lambda s: rtrim(s, {WHITE})), lambda s: NOT {_EXPLAINS.format("s")}), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), {WHITE}) END) AS block_md5 FROM e""")
 def best_block(spark: SparkSession, sf: str) -> DataFrame:
-    return _responses(spark, sf).where("response IS NOT NULL").select("response_id", F.md5(text.best_block("response")).alias("block_md5"))
+    return _responses(spark, sf).where("response IS NOT NULL").select("response_id", F.md5(text.best_block("response", "language")).alias("block_md5"))
 
 
-@query(r"""SELECT response_id, round(CASE WHEN regexp_matches(response, 'func Test\w*\(|#\[test\]|@testset|@test\b|extends\s+\S*TestCase|\bdescribe\b|\bdef test_|\bit [''"]') THEN 0.6::DOUBLE ELSE 0::DOUBLE END
-    + CASE WHEN regexp_matches(response, '(?i)assert|expect|t\.(Error|Fatal)|@test\b') THEN 0.3::DOUBLE ELSE 0::DOUBLE END + CASE WHEN length(response) > 50 THEN 0.1::DOUBLE ELSE 0::DOUBLE END, 6) AS score FROM generation_result WHERE response IS NOT NULL""")
+@query(rf"""WITH r AS (SELECT response_id, response, {LANG} AS language, string_split(response, chr(10)) AS x FROM generation_result WHERE response IS NOT NULL),
+    p AS (SELECT response_id, CASE WHEN trim(response, {WHITE}) = '' THEN 0 WHEN language NOT IN ('ruby', 'julia', 'go', 'rust', 'php') OR language IS NULL THEN 5 ELSE CASE WHEN {_KEYWORD.format("response")} THEN 6 ELSE 0 END
+        + CASE WHEN len(list_filter(x, lambda s: trim(s, {WHITE}) <> '')) >= 3 THEN 3 ELSE 0 END + CASE WHEN {_EXPLAINS.format("x[1]")} THEN 0 ELSE 1 END END AS points FROM r)
+    SELECT response_id, points / 10.0::DOUBLE AS score, points >= 5 AS valid FROM p""")
 def test_score(spark: SparkSession, sf: str) -> DataFrame:
-    return _responses(spark, sf).where("response IS NOT NULL").select("response_id", F.round(text.test_score("response").cast("double"), 6).alias("score"))
+    scored = _responses(spark, sf).where("response IS NOT NULL").select("response_id", text.test_score("response", "language").alias("score"))
+    return scored.withColumn("valid", F.col("score") >= 0.5)
 
 
 @query(r"""SELECT record_id, md5(regexp_replace(focal_code, '\s+', ' ', 'g')) AS squeezed_md5, CASE WHEN contains(focal_code, chr(10)) THEN string_split(focal_code, chr(10))[1] || ' ...' ELSE focal_code END AS first_line,
