@@ -177,16 +177,21 @@ def without_metadata(text: str | Column) -> Column:
 
 
 def range_text(text: str | Column, start_line: Column, start_char: Column, end_line: Column, end_char: Column) -> Column:
-    """Text of a 0-based range of (line, character) (TXT-24); '' if it starts after the last line."""
+    """Text of a 0-based range of (line, character) (TXT-24); '' if it starts after the last line, or on one that imports.
+
+    A range within one line that ends no later than it starts gives the whole line.
+    """
     parts = lines(text)
     n = F.size(parts)
-    last = F.least(end_line, n - 1)
-    one = F.substring(F.get(parts, start_line), start_char + 1, F.greatest(end_char - start_char, F.lit(0)))
-    head = F.substring(F.get(parts, start_line), start_char + 1, F.length(F.get(parts, start_line)))
-    between = F.slice(parts, start_line + 2, F.greatest(last - start_line - 1, F.lit(0)))
-    tail = F.when(end_line < n, F.substring(F.get(parts, end_line), F.lit(1), end_char))
-    more = F.array_join(F.concat(F.array(head), between, F.when(tail.isNull(), F.array().cast("array<string>")).otherwise(F.array(tail))), "\n")
-    return F.when(start_line >= n, "").when(start_line == end_line, one).otherwise(more)
+    first = F.get(parts, start_line)
+    trimmed = strip(first)
+    imports = _any([F.startswith(trimmed, F.lit(w)) for w in ("import ", "from ", "use ")]) | (F.startswith(trimmed, F.lit('"')) & F.contains(F.substring(first, F.lit(1), start_char), F.lit("import")))
+    one = F.when(end_char > start_char, F.substring(first, start_char + 1, F.greatest(end_char - start_char, F.lit(0)))).otherwise(first)
+    head = F.substring(first, start_char + 1, F.length(first))
+    between = F.slice(parts, start_line + 2, F.greatest(F.least(end_line - 1, n - 1) - start_line, F.lit(0)))
+    tail = F.when(end_line < n, F.array(F.substring(F.get(parts, end_line), F.lit(1), end_char))).otherwise(F.array().cast("array<string>"))
+    more = F.array_join(F.concat(F.array(head), between, tail), "\n")
+    return F.when((start_line >= n) | imports, "").when(start_line == end_line, one).otherwise(more)
 
 
 def occurrences(text: Column, part: str) -> Column:

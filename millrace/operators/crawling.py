@@ -69,3 +69,23 @@ def without_listed_tokens(tokens: DataFrame, listed: DataFrame, keywords: DataFr
     kept = tokens.join(listed.select("language", "word").distinct(), ["language", "word"], "left_anti")
     k = keywords.select("language", F.lower("word").alias("__w")).distinct()
     return kept.withColumn("__w", F.lower("word")).join(k, ["language", "__w"], "left_anti").drop("__w")
+
+
+#: Characters from which on a function is too large to be enriched.
+TOO_LARGE = 10_000
+
+
+def too_large(code: str | Column, most: int = TOO_LARGE) -> Column:
+    """Whether a function has more than ``most`` characters (FLT-16); null code hasn't."""
+    return F.coalesce(F.length(col(code)) > most, F.lit(False))
+
+
+def prompt_columns(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Only the columns that prompts are made of (PRJ-01), as far as the table has them, so a scan reads no others."""
+    wanted = ["task_id", "repo", "function_name", "focal_code", "file_path", "file_content", "language", "function_component", *(extra or [])]
+    return df.select(*[c for c in dict.fromkeys(wanted) if c in df.columns])
+
+
+def without_prompt(df: DataFrame) -> DataFrame:
+    """Responses without their prompt (PRJ-02)."""
+    return df.drop("prompt")

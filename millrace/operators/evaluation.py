@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import test_key
+from ..functions.text import col
 
 
 def rate(part: Column, whole: Column, scale: float = 100.0) -> Column:
@@ -178,3 +179,36 @@ def leaders(rates: DataFrame, setting: list[str], model: str, value: str, lower:
     w = Window.partitionBy(*setting).orderBy(F.col(value).desc(), F.col(model))
     ranked = rates.select("*", F.row_number().over(w).alias("__n"), F.lead(upper).over(w).alias("__next"))
     return ranked.where("__n = 1").select(*setting, model, value, flag(F.col(lower) > F.col("__next")).alias("separated"))
+
+
+def error_groups(classified: DataFrame, sample: str, category: str, groups: list[str]) -> DataFrame:
+    """Samples, tests, errors and error rate by each of ``groups`` on its own, and in all (AGG-07): ``grouping, name, ...``.
+
+    classified: a row for each test, ``category`` null without an error; a null group is ``unknown``. One aggregation
+    over grouping sets, pre-aggregated by sample, so that samples are counted without a distinct over all rows.
+    """
+    named = classified.select(sample, category, *[F.coalesce(F.col(g).cast("string"), F.lit("unknown")).alias(g) for g in groups])
+    per_sample = named.groupBy(sample, *groups).agg(F.count("*").alias("tests"), F.count(category).alias("errors"))
+    single = F.explode(F.array(F.struct(F.lit("all").alias("grouping"), F.lit("all").alias("name")), *[F.struct(F.lit(g).alias("grouping"), F.col(g).alias("name")) for g in groups]))
+    out = per_sample.select("tests", "errors", single.alias("s")).groupBy("s.grouping", "s.name").agg(F.count("*").alias("total_samples"), F.sum("tests").alias("total_tests"), F.sum("errors").alias("total_errors"))
+    return out.withColumn("error_rate", F.when(F.col("total_tests") > 0, F.col("total_errors") / F.col("total_tests")).otherwise(0.0))
+
+
+def report_totals(checks: str | Column, stats: str | Column) -> Column:
+    """Totals of a report's rows (AGG-21): ``covered_lines, total_lines, passed, failed, errors``.
+
+    A row that passed counts as passed, one that compiled but didn't pass as failed, any other as an error; nulls count 0.
+    """
+    c, s = F.coalesce(col(checks), F.array()), F.coalesce(col(stats), F.array())
+    count = lambda test: F.size(F.filter(c, test))
+    known = lambda x, name: F.coalesce(x[name], F.lit(False))
+    total = lambda name: F.aggregate(s, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x[name], F.lit(0)))
+    return F.struct(
+        total("covered_lines").alias("covered_lines"), total("total_lines").alias("total_lines"), count(lambda x: known(x, "tests")).alias("passed"),
+        count(lambda x: known(x, "compilation") & ~known(x, "tests")).alias("failed"), count(lambda x: ~known(x, "compilation") & ~known(x, "tests")).alias("errors"),
+    )
+
+
+def rounded(df: DataFrame, decimals: int = 2) -> DataFrame:
+    """Doubles rounded for a report (AGG-05), half to even; other columns stay."""
+    return df.select(*[F.bround(c, decimals).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])

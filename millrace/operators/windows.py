@@ -32,6 +32,15 @@ def without_range(content: str | Column, start: Column, end: Column) -> Column:
     return F.concat(F.slice(lines, 1, a), F.slice(lines, F.greatest(a, b) + 1, n))
 
 
+def without_file(files: DataFrame, excluded: DataFrame, repo: str, path: str, column: str) -> DataFrame:
+    """Files of each repository but for the one that ``excluded`` (a row a repository) names for it (WIN-04), before they are windowed.
+
+    Repositories without a row keep all files; null repositories and paths are kept.
+    """
+    gone = excluded.select(F.col(repo).alias("__repo"), F.col(column).alias("__path"))
+    return files.join(gone, F.col(repo).eqNullSafe(F.col("__repo")) & (F.col(path) == F.col("__path")), "left_anti")
+
+
 def merge_windows(windows: DataFrame, group: str, path: str, order: list[str]) -> DataFrame:
     """Windows of a group with the same text as one, with their places in order (WIN-02).
 

@@ -283,7 +283,7 @@ def retrieval_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT result_id, CAST(position AS INTEGER) AS position, test[position + 1] AS t, logs[position + 1] AS l FROM (SELECT *, unnest(generate_series(0, greatest(coalesce(len(test), 0) - 1, 0))) AS position FROM detailed_results))
     SELECT result_id, position, md5('P' || chr(10) || chr(10) || 'The test below fails. Return a corrected test.' || chr(10) || chr(10) || '#TEST' || chr(10) || coalesce(t, '') || chr(10) || '#END_TEST' || chr(10) || chr(10) || '#LOG' || chr(10) ||
-        CASE WHEN length(l) > 60 THEN right(l, 60) ELSE coalesce(l, '') END || chr(10) || '#END_LOG' || chr(10)) AS prompt_md5 FROM p""")
+        coalesce(l, '') || chr(10) || '#END_LOG' || chr(10)) AS prompt_md5 FROM p""")
 def repair_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return _padded(spark, sf).select("result_id", "position", F.md5(prompts.repair_prompt(F.lit("P"), F.col("test_code"), F.col("log"))).alias("prompt_md5"))
 
@@ -301,12 +301,6 @@ def model_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, F.col("a.model") < F.col("b.model")).select(F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b"), (F.abs(F.col("a.n_passed") / F.col("a.n_tests") - F.col("b.n_passed") / F.col("b.n_tests")) < 0.05).alias("close"))
 
 
-@query("SELECT 4.0833333333333::DOUBLE AS chi2_of_10_2")
-def mcnemar_reference(spark: SparkSession, sf: str) -> DataFrame:
-    chi, _ = statistics.mcnemar(F.lit(10), F.lit(2))
-    return spark.range(1).select(F.round(chi, 13).alias("chi2_of_10_2"))
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

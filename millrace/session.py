@@ -61,11 +61,14 @@ def ship(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (as in tests) a local folder is chosen and set.
+    Only in local mode (as in tests) a local folder is chosen and set where none is named; on a cluster executors would
+    write to folders of their own, so a missing setting is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="millrace-checkpoint-")
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir()

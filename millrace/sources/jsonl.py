@@ -48,11 +48,14 @@ def discover(df: DataFrame, modes: list[str] | None = None, models: list[str] |
     return out.where(F.col("model").isin(models)) if models else out
 
 
-def read_code(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Source files as ``path, content`` (SRC-04, SRC-06): UTF-8, else Latin-1; pruned folders and other endings are left out."""
+def read_code(spark: SparkSession, path: str, recursive: bool = True, undecodable: str = "latin-1") -> DataFrame:
+    """Source files as ``path, content`` (SRC-04, SRC-06): UTF-8, else Latin-1, or (``undecodable="drop"``) without the bytes
+    that are no UTF-8 (SRC-05); pruned folders and other endings are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     relative = F.regexp_replace("path", "^[a-z]+:/*", "/")
     text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
+    if undecodable == "drop":  # the mark for a bad byte must not be in the text already
+        text = F.when(F.is_valid_utf8("content"), text).otherwise(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")))
     return files.where(is_source_path(relative)).select(relative.alias("path"), text.alias("content"))
 
 

@@ -1,9 +1,9 @@
 import pytest
 
 from comparing import same
-from millrace.plans import core_queries, detail_queries, nested_queries
+from millrace.plans import core_queries, detail_queries, more_queries, nested_queries
 
-MODULES = (core_queries, detail_queries, nested_queries)
+MODULES = (core_queries, detail_queries, more_queries, nested_queries)
 ALL = {k: v for m in MODULES for k, v in m.queries().items()}
 SQL = {k: v for m in MODULES for k, v in m.oracle_sql().items()}
 
