@@ -36,7 +36,8 @@ POSITION = "#"
 
 @dataclass(frozen=True)
 class Node:
-    """A node of a shape. ``kind``: ``struct`` (fields), ``list`` (fields of its objects), ``leaf`` or ``map`` (open keys)."""
+    """A node of a shape. ``kind``: ``struct`` (fields), ``list`` (fields of its objects), ``values`` (a list of plain values),
+    ``leaf`` or ``map`` (open keys)."""
 
     kind: str
     fields: dict[str, Node] = field(default_factory=dict)
@@ -50,7 +51,7 @@ def listed(**fields: Node) -> Node:
     return Node("list", fields)
 
 
-LEAF, MAP = Node("leaf"), Node("map")
+LEAF, MAP, VALUES = Node("leaf"), Node("map"), Node("values")
 
 #: The nested parts of a results record that are turned into tables.
 RECORD_SHAPE = struct(
@@ -95,6 +96,12 @@ def elements(value) -> list[tuple[int, dict]]:
     return out
 
 
+def plain_values(value) -> list[tuple[int, object]]:
+    """(position, value) of the elements of a list that are neither null nor objects nor lists."""
+    value = decoded(value)
+    return [(i, x) for i, x in enumerate(value) if x is not None and not isinstance(decoded(x), (dict, list))] if isinstance(value, list) else []
+
+
 class Column_:
     """A shredded leaf column."""
 
@@ -120,9 +127,11 @@ class Shredder:
             if node.kind == "map":
                 self.columns[f"{path}[].{POSITION}"] = Column_()
             return
-        if node.kind == "list":
+        if node.kind in ("list", "values"):
             path = f"{path}[]"
             self.columns[f"{path}.{POSITION}"] = Column_()
+        if node.kind == "values":
+            self.columns[f"{path}.value"] = Column_()
         for name, child in node.fields.items():
             self._declare(child, f"{path}.{name}" if path else name)
 
@@ -143,9 +152,11 @@ class Shredder:
             self._put(path, rep, dfn, None)
             self._put(f"{path}[].{POSITION}", rep, dfn, None)
             return
-        if node.kind == "list":
+        if node.kind in ("list", "values"):
             path = f"{path}[]"
             self._put(f"{path}.{POSITION}", rep, dfn, None)
+        if node.kind == "values":
+            self._put(f"{path}.value", rep, dfn, None)
         for name, child in node.fields.items():
             self._absent(child, f"{path}.{name}" if path else name, rep, dfn)
 
@@ -164,6 +175,15 @@ class Shredder:
                 self._put(f"{path}[].{POSITION}", at, dfn + 1, key)
                 self._put(path, at, dfn + 1, leaf)
             return
+        if node.kind == "values":
+            found = plain_values(value)
+            if not found:
+                self._absent(node, path, rep, dfn)
+            for i, (position, item) in enumerate(found):
+                at = rep if i == 0 else depth + 1
+                self._put(f"{path}[].{POSITION}", at, dfn + 1, position)
+                self._put(f"{path}[].value", at, dfn + 1, item)
+            return
         if node.kind == "list":
             found = elements(value)
             if not found:
@@ -205,7 +225,8 @@ def assemble(columns: dict[str, Column_], ancestor: str, above: tuple[str, ...]
     """The flat table of one repeated ancestor, from the level sequences.
 
     ancestor: a list path such as ``checks[]``; above: the list paths over it, outermost first. The result has the
-    ordinal of the record, the position in each list, and one text column for each leaf right below the ancestor.
+    ordinal of the record, the position in each list, and one text column for each leaf below the ancestor that is in no
+    further list; leaves of objects within are named ``a.b``. Of a map the positions are its keys, and the leaf is ``value``.
     """
     depth = len(above) + 1
     key = columns[f"{ancestor}.{POSITION}"]
@@ -224,8 +245,10 @@ def assemble(columns: dict[str, Column_], ancestor: str, above: tuple[str, ...]
     prefix = f"{ancestor}."
     for path, c in columns.items():
         name = path[len(prefix) :] if path.startswith(prefix) else ""
-        if name and name != POSITION and "[]" not in name and "." not in name:
+        if name and name != POSITION and "[]" not in name and f"{path}[].{POSITION}" not in columns:
             out[name] = [_text(v) for v, ok in zip(c.values, there, strict=True) if ok]
+    if (leaf := columns.get(ancestor.removesuffix("[]"))) is not None:
+        out["value"] = [v for v, ok in zip(leaf.values, there, strict=True) if ok]
     return pd.DataFrame(out)
 
 
@@ -258,24 +281,37 @@ def parse_record(line: str | None):
     return value if isinstance(value, dict) else None
 
 
-#: table name -> (list path, list paths above it)
-TABLES = {
-    "checks": ("checks[]", ()),
-    "coverage_stats": ("coverage_stats[]", ()),
-    "arguments": ("function_component.argument_definitions_lsp[]", ()),
-    "definitions": (
-        "function_component.argument_definitions_lsp[].definitions[]",
-        ("function_component.argument_definitions_lsp[]",),
-    ),
-}
+#: Tables of ``RECORD_SHAPE`` that aren't named by the last part of their path.
+RECORD_NAMES = {"function_component.argument_definitions_lsp[]": "arguments"}
 
-def _children(keys, columns: dict[str, Column_]) -> pa.RecordBatch:
+
+def tables_of(shape: Node, names: dict[str, str] | None = None) -> dict[str, tuple[str, tuple[str, ...], bool]]:
+    """Tables of a shape by name: (list path, list paths above it, whether it is a map).
+
+    A table is named by ``names``, else by the last part of its path, or by its whole path where that is taken.
+    """
+    out: dict[str, tuple[str, tuple[str, ...], bool]] = {}
+
+    def walk(node: Node, path: str, above: tuple[str, ...]) -> None:
+        if node.kind in ("list", "values", "map"):
+            path = f"{path}[]"
+            name = (names or {}).get(path) or path.removesuffix("[]").split(".")[-1].removesuffix("[]")
+            out[path.removesuffix("[]") if name in out else name] = (path, above, node.kind == "map")
+            above = (*above, path)
+        for name, child in node.fields.items():
+            walk(child, f"{path}.{name}" if path else name, above)
+
+    walk(shape, "", ())
+    return out
+
+
+def _children(keys, columns: dict[str, Column_], tables: dict[str, tuple[str, tuple[str, ...], bool]]) -> pd.DataFrame | None:
     frames = []
-    for name, (ancestor, above) in TABLES.items():
+    for name, (ancestor, above, is_map) in tables.items():
         t = assemble(columns, ancestor, above)
         if t.empty:
             continue
-        path, parent = _paths(ancestor, above, t)
+        path, parent = _paths(ancestor, above, t, is_map)
         attributes = [c for c in t.columns if c != "record" and not c.startswith("position_")]
         rows = t[attributes].to_dict("records")
         frames.append(
@@ -290,43 +326,28 @@ def _children(keys, columns: dict[str, Column_]) -> pa.RecordBatch:
                 }
             )
         )
-    key_column, leaf = columns[f"metadata[].{POSITION}"], columns["metadata"]
-    record = np.cumsum(np.asarray(key_column.rep) == 0) - 1
-    there = [i for i, v in enumerate(key_column.values) if v is not None]
-    if there:
-        frames.append(
-            pd.DataFrame(
-                {
-                    "record": record[there],
-                    "node_table": "metadata",
-                    "node_path": ["metadata." + key_column.values[i] for i in there],
-                    "parent_path": "",
-                    "position": [key_column.values[i] for i in there],
-                    "attributes": [[("value", leaf.values[i])] for i in there],
-                }
-            )
-        )
     if not frames:
         return None
     out = pd.concat(frames, ignore_index=True)
     return out.assign(key=np.asarray(keys, object)[out["record"].to_numpy()])
 
 
-def _paths(ancestor: str, above: tuple[str, ...], t: pd.DataFrame) -> tuple[list[str], list[str]]:
-    """Paths of the elements with their positions, and of the elements that hold them ('' for the record)."""
-    pieces = ancestor.split("[]")[:-1]
+def _paths(ancestor: str, above: tuple[str, ...], t: pd.DataFrame, is_map: bool) -> tuple[list[str], list[str]]:
+    """Paths of the elements with their positions or keys, and of the elements that hold them ('' for the record)."""
+    parts = ancestor.split("[]")[:-1]
     path = [""] * len(t)
     parent = path
-    for level, piece in enumerate(pieces, start=1):
+    for level, part in enumerate(parts, start=1):
         parent = path
-        path = [f"{p}{piece}[{i}]" for p, i in zip(path, t[f"position_{level}"], strict=True)]
+        form = "{}{}.{}" if is_map and level == len(parts) else "{}{}[{}]"
+        path = [form.format(p, part, i) for p, i in zip(path, t[f"position_{level}"], strict=True)]
     return path, parent
 
 
-def shredded_children(df: DataFrame, key: str, source: str | Column, shape: Node = RECORD_SHAPE) -> DataFrame:
+def shredded_children(df: DataFrame, key: str, source: str | Column, shape: Node = RECORD_SHAPE, names: dict[str, str] | None = RECORD_NAMES) -> DataFrame:
     """Flat child rows of JSON records: ``key, node_table, node_path, parent_path, position, attributes``.
 
-    df: any columns; ``key`` identifies the record, ``source`` is a JSON text column (for nested columns, pass
+    There is a table for each list and map of the shape, see ``tables_of``. df: any columns; ``key`` identifies the record, ``source`` is a JSON text column (for nested columns, pass
     ``to_json(struct(...))``). Lines that are null, blank, broken or no object have no children, repeated lines have
     theirs under each key, an empty table gives an empty one, and other columns of ``df`` aren't touched. ``node_path``
     names the child in its record, ``parent_path`` the child that holds it ('' for the record itself), ``attributes``
@@ -335,6 +356,7 @@ def shredded_children(df: DataFrame, key: str, source: str | Column, shape: Node
     One narrow pass: no shuffle, and a task holds a few megabytes of lines, or one longer line, as columns.
     """
     ship(df.sparkSession)
+    tables = tables_of(shape, names)
     source = F.col(source) if isinstance(source, str) else source
     key_type = df.schema[key].dataType
     schema = T.StructType(
@@ -357,7 +379,7 @@ def shredded_children(df: DataFrame, key: str, source: str | Column, shape: Node
         for batch in batches:
             for part in pieces(batch, 1):
                 keys, lines = part.column(0).to_pylist(), part.column(1).to_pylist()
-                out = _children(keys, shred(map(parse_record, lines), shape))
+                out = _children(keys, shred(map(parse_record, lines), shape), tables)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays(
                         [

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from millrace.operators.shredding import assemble, child_table, parse_record, shred, shredded_children
+from millrace.operators.shredding import LEAF, MAP, RECORD_NAMES, RECORD_SHAPE, VALUES, assemble, child_table, listed, parse_record, shred, shredded_children, struct, tables_of
 
 
 def brute(raw_id, line):
@@ -98,3 +98,26 @@ def test_very_long_list(spark):
     df = spark.createDataFrame([(1, line)], "raw_id long, json_line string")
     r = shredded_children(df, "raw_id", "json_line").agg(F.count("*"), F.max(F.col("position").cast("int"))).first()
     assert tuple(r) == (20_000, 39_998)
+
+
+def test_tables_of_a_shape():
+    arguments = "function_component.argument_definitions_lsp[]"
+    want = {"checks": ("checks[]", (), False), "coverage_stats": ("coverage_stats[]", (), False), "arguments": (arguments, (), False), "definitions": (f"{arguments}.definitions[]", (arguments,), False), "metadata": ("metadata[]", (), True)}
+    assert tables_of(RECORD_SHAPE, RECORD_NAMES) == want
+    assert set(tables_of(struct(a=listed(x=VALUES), b=listed(x=VALUES)))) == {"a", "x", "b", "b[].x"}
+
+
+def test_another_shape(spark):
+    shape = struct(xs=listed(a=struct(b=LEAF, deep=struct(ys=listed(v=LEAF), w=LEAF)), c=LEAF, tags=VALUES, meta=MAP), words=VALUES, top=struct(info=MAP))
+    records = [
+        {"xs": [{"a": {"b": 1, "deep": {"ys": [{"v": 5}, 0, {"v": 6}], "w": "w"}}, "c": "c0", "tags": ["t", None, 3, {"no": 1}], "meta": {"k": {"m": 1}, "n": None}}, 7, {"c": "c2"}, {"a": {"b": None}, "meta": {"q": ""}}], "words": ["x", [1], "y"], "top": {"info": {"z": True}}},
+        {"words": "no list", "xs": {"a": {"b": 2}}}, {},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, line string")
+    got = {(r.id, r.node_table, r.node_path, r.parent_path, tuple(sorted(r.attributes.items()))) for r in shredded_children(df, "id", "line", shape, None).collect()}
+    assert got == {
+        (0, "xs", "xs[0]", "", (("a.b", "1"), ("a.deep.w", "w"), ("c", "c0"))), (0, "xs", "xs[2]", "", (("c", "c2"),)), (0, "xs", "xs[3]", "", ()), (1, "xs", "xs[0]", "", (("a.b", "2"),)),
+        (0, "ys", "xs[0].a.deep.ys[0]", "xs[0]", (("v", "5"),)), (0, "ys", "xs[0].a.deep.ys[2]", "xs[0]", (("v", "6"),)), (0, "tags", "xs[0].tags[0]", "xs[0]", (("value", "t"),)), (0, "tags", "xs[0].tags[2]", "xs[0]", (("value", "3"),)),
+        (0, "meta", "xs[0].meta.k.m", "xs[0]", (("value", "1"),)), (0, "meta", "xs[3].meta.q", "xs[3]", (("value", ""),)), (0, "words", "words[0]", "", (("value", "x"),)), (0, "words", "words[2]", "", (("value", "y"),)),
+        (0, "info", "top.info.z", "", (("value", "true"),)),
+    }
