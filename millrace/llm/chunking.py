@@ -108,7 +108,8 @@ def text_pieces(
     (none with ``oversized_only``); a key with two texts has the pieces of both; repeated rows count once.
 
     One narrow pass; each task cuts a repeated text once, and what is left of the repetition between tasks is dropped by a
-    shuffle of the pieces' offsets. The texts of pieces are joined to nothing: with ``with_text`` they are cut in the pass.
+    shuffle of the pieces: of their offsets only, or with ``with_text`` of offsets and texts, about as much as the
+    distinct oversized texts hold, times the number of limits.
     """
     ship(df.sparkSession)
     fields = [
