@@ -168,12 +168,12 @@ def pack(sizes: np.ndarray, lengths: np.ndarray, terms: list[np.ndarray], counts
     n = len(sizes)
     v = Vectors(lengths, terms, counts, idf, mean)
     order = np.argsort(v.term, kind="stable")
-    index_doc, index_weight = v.doc[order], v.weight[order]
-    known, first = np.unique(v.term[order], return_index=True)
-    span = dict(zip(known.tolist(), zip(first.tolist(), [*first.tolist(), len(order)][1:], strict=False), strict=False))
+    index_term, index_doc, index_weight = v.term[order], v.doc[order], v.weight[order]
     unused = np.ones(n, bool)
     of_size = np.bincount(sizes, minlength=capacity + 1)  # unused items of each size
     typical = int(np.median(sizes)) if n else 0
+    indexed, left = n, n
+    span = _spans(index_term)
     out: list[list[tuple[int, bool]]] = []
 
     def take(i: int) -> int:
@@ -187,42 +187,71 @@ def pack(sizes: np.ndarray, lengths: np.ndarray, terms: list[np.ndarray], counts
         room = capacity - take(seed)
         box = [(seed, True)]
         out.append(box)
-        score = None
-        while room and of_size[: room + 1].any():
-            if score is None:
-                score = np.zeros(n, np.float32)
-                for t in v.term[v.begin[seed] : v.begin[seed + 1]].tolist():
+        if room and of_size[: room + 1].any():
+            if left < indexed / 2:  # postings of used items are dropped
+                keep = unused[index_doc]
+                index_term, index_doc, index_weight, indexed = index_term[keep], index_doc[keep], index_weight[keep], left
+                span = _spans(index_term)
+            score = np.zeros(n, np.float32)
+            for t in v.term[v.begin[seed] : v.begin[seed + 1]].tolist():
+                if t in span:
                     s, e = span[t]
                     score[index_doc[s:e]] += index_weight[s:e]  # a document occurs once in a term's postings
-                near = np.flatnonzero(unused & (sizes <= room))
-                near = near[np.lexsort((near, -sizes[near], -score[near]))]  # without a common term by size
-                at = 0
-            if room > 2 * typical:
-                while not unused[near[at]] or sizes[near[at]] > room:
-                    at += 1
-                picked = [int(near[at])]
-            else:
-                near, at = near[at:][unused[near[at:]] & (sizes[near[at:]] <= room)], 0
-                picked = _closing(near, sizes, of_size, room)
-            for i in picked:
-                room -= take(i)
-                box.append((i, bool(score[i] > 0)))
+            queue: list[int] = []
+            some = FIRST
+            while room and of_size[: room + 1].any():
+                if room > 2 * typical:
+                    while queue and (not unused[queue[-1]] or sizes[queue[-1]] > room):
+                        queue.pop()
+                    if not queue:
+                        queue, some = _nearest(np.flatnonzero(unused & (sizes <= room)), sizes, score, some), some * 8
+                        continue
+                    picked = [queue.pop()]
+                else:
+                    picked = _closing(np.flatnonzero(unused & (sizes <= room)), sizes, score, of_size, room)
+                for i in picked:
+                    room -= take(i)
+                    box.append((i, bool(score[i] > 0)))
+        left -= len(box)
     return out
 
 
-def _closing(near: np.ndarray, sizes: np.ndarray, of_size: np.ndarray, room: int) -> list[int]:
-    """The nearest item that fills the room up to at most seven tokens, alone or with the nearest one of the size that is missing, else the nearest."""
-    size = sizes[near]
+#: Nearest items that a seed sorts at first; it sorts more if these don't fill its container.
+FIRST = 128
+
+
+def _spans(term: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Where the postings of each term are; they are sorted by term."""
+    known, first = np.unique(term, return_index=True)
+    return dict(zip(known.tolist(), zip(first.tolist(), [*first.tolist(), len(term)][1:], strict=False), strict=False))
+
+
+def _nearest(fit: np.ndarray, sizes: np.ndarray, score: np.ndarray, some: int) -> list[int]:
+    """At least ``some`` of the items with the highest scores (ties: the larger, then the first), the best one last."""
+    if len(fit) > some:
+        fit = fit[score[fit] >= np.partition(score[fit], len(fit) - some)[len(fit) - some]]
+    return fit[np.lexsort((fit, -sizes[fit], -score[fit]))][::-1].tolist()
+
+
+def _best(items: np.ndarray, sizes: np.ndarray, score: np.ndarray) -> int:
+    items = items[score[items] == score[items].max()]
+    return int(items[np.argmax(sizes[items])])
+
+
+def _closing(fit: np.ndarray, sizes: np.ndarray, score: np.ndarray, of_size: np.ndarray, room: int) -> list[int]:
+    """The nearest item that fills the room up to at most seven tokens, alone or with the nearest one of the size that is missing, else the nearest.
+
+    fit: the unused items up to the room, in order; of_size: how many of each size there are.
+    """
+    size = sizes[fit]
     for total in range(room, max(room - 8, 0), -1):
         missing = total - size
         pairs = (missing >= 0) & ((missing == 0) | (of_size[np.maximum(missing, 0)] > (missing == size)))
         if pairs.any():
-            k = int(np.argmax(pairs))
-            if missing[k] == 0:
-                return [int(near[k])]
-            other = np.flatnonzero(size == missing[k])
-            return [int(near[k]), int(near[other[other != k][0]])]
-    return [int(near[0])]
+            first = _best(fit[pairs], sizes, score)
+            rest = total - int(sizes[first])
+            return [first, _best(fit[(size == rest) & (fit != first)], sizes, score)] if rest else [first]
+    return [_best(fit, sizes, score)]
 
 
 def containers(

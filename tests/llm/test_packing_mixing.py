@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm.mixing import mixture, quotas, shares, source_name
-from millrace.llm.packing import _closing, containers, document_frequencies, fill_report, pack, routed, token_table
+from millrace.llm.packing import _closing, _nearest, containers, document_frequencies, fill_report, pack, routed, token_table
 from millrace.llm.tokens import VOCABULARY, chars_per_token, encode
 
 
@@ -129,12 +129,14 @@ def test_a_container_is_filled_by_its_nearest():
 
 
 def test_closing():
-    size_of = lambda sizes: np.bincount(sizes, minlength=200)
     sizes = np.array([7, 6, 4, 1, 5])
-    assert _closing(np.arange(5), sizes, size_of(sizes), 10) == [1, 2]  # the nearest that has a partner
-    assert _closing(np.array([3, 4]), sizes, size_of(sizes[[3, 4]]), 5) == [4]
-    assert _closing(np.array([0]), sizes, size_of(sizes[[0]]), 100) == [0]
-    assert _closing(np.array([2]), sizes, size_of(sizes[[2]]), 8) == [2]  # no partner for itself
+    near = np.array([5.0, 4, 3, 2, 1])
+    of = lambda *some: (np.array(some), sizes, near, np.bincount(sizes[list(some)], minlength=200))
+    assert _closing(*of(0, 1, 2, 3, 4), 10) == [1, 2]  # the nearest that has a partner
+    assert _closing(*of(3, 4), 5) == [4]
+    assert _closing(*of(0), 100) == [0]
+    assert _closing(*of(2), 8) == [2]  # no partner for itself
+    assert _nearest(np.arange(5), sizes, near, 2) == [1, 0] and _nearest(np.arange(5), sizes, np.zeros(5), 2)[-1] == 0
 
 
 def test_frequencies_and_report(spark):
