@@ -167,13 +167,11 @@ def pack(sizes: np.ndarray, lengths: np.ndarray, terms: list[np.ndarray], counts
     """
     n = len(sizes)
     v = Vectors(lengths, terms, counts, idf, mean)
-    order = np.argsort(v.term, kind="stable")
-    index_term, index_doc, index_weight = v.term[order], v.doc[order], v.weight[order]
     unused = np.ones(n, bool)
     of_size = np.bincount(sizes, minlength=capacity + 1)  # unused items of each size
     typical = int(np.median(sizes)) if n else 0
-    indexed, left = n, n
-    span = _spans(index_term)
+    index, left = Index(v, np.arange(n)), n
+    ready: dict[int, np.ndarray] = {}
     out: list[list[tuple[int, bool]]] = []
 
     def take(i: int) -> int:
@@ -181,22 +179,21 @@ def pack(sizes: np.ndarray, lengths: np.ndarray, terms: list[np.ndarray], counts
         of_size[sizes[i]] -= 1
         return int(sizes[i])
 
-    for seed in np.lexsort((np.arange(n), -sizes)).tolist():  # the largest first
+    seeds = np.lexsort((np.arange(n), -sizes))  # the largest first
+    for at, seed in enumerate(seeds.tolist()):
         if not unused[seed]:
             continue
         room = capacity - take(seed)
         box = [(seed, True)]
         out.append(box)
         if room and of_size[: room + 1].any():
-            if left < indexed / 2:  # postings of used items are dropped
-                keep = unused[index_doc]
-                index_term, index_doc, index_weight, indexed = index_term[keep], index_doc[keep], index_weight[keep], left
-                span = _spans(index_term)
+            if left < len(index.items) / 2:  # used items leave the index
+                index, ready = Index(v, np.flatnonzero(unused)), {}
+            if seed not in ready:  # scores don't depend on what is used, so some seeds are scored at once
+                ahead = [seed, *seeds[at + 1 :][unused[seeds[at + 1 :]]][: AT_ONCE - 1].tolist()]
+                ready = dict(zip(ahead, index.scores([v.term[v.begin[i] : v.begin[i + 1]] for i in ahead]), strict=True))
             score = np.zeros(n, np.float32)
-            for t in v.term[v.begin[seed] : v.begin[seed + 1]].tolist():
-                if t in span:
-                    s, e = span[t]
-                    score[index_doc[s:e]] += index_weight[s:e]  # a document occurs once in a term's postings
+            score[index.items] = ready.pop(seed)
             queue: list[int] = []
             some = FIRST
             while room and of_size[: room + 1].any():
@@ -216,14 +213,47 @@ def pack(sizes: np.ndarray, lengths: np.ndarray, terms: list[np.ndarray], counts
     return out
 
 
-#: Nearest items that a seed sorts at first; it sorts more if these don't fill its container.
-FIRST = 128
+#: Seeds that are scored at once.
+AT_ONCE = 32
+#: Terms in more than this share of the items are held as dense rows, all others as postings.
+DENSE_SHARE = 1 / 8
+
+
+class Index:
+    """BM25 index of some of the documents ``v``. Query terms count once; a score is the sum over all terms of the query."""
+
+    def __init__(self, v: Vectors, items: np.ndarray) -> None:
+        self.items = items
+        column = np.full(len(v.begin) - 1, -1)
+        column[items] = np.arange(len(items))
+        held = column[v.doc] >= 0
+        term, column, weight = v.term[held], column[v.doc[held]], v.weight[held]
+        order = np.argsort(term, kind="stable")
+        term, self.column, self.weight = term[order], column[order], weight[order]
+        known, first, df = np.unique(term, return_index=True, return_counts=True)
+        common = df > len(items) * DENSE_SHARE
+        self.span = {t: (s, s + c) for t, s, c in zip(known[~common].tolist(), first[~common].tolist(), df[~common].tolist(), strict=True)}
+        self.row = {t: i for i, t in enumerate(known[common].tolist())}
+        self.dense = np.zeros((len(self.row), len(items)), np.float32)
+        for i, (s, c) in enumerate(zip(first[common].tolist(), df[common].tolist(), strict=True)):
+            self.dense[i, self.column[s : s + c]] = self.weight[s : s + c]
+
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """A row of scores, one for each item, for each query (an array of terms)."""
+        asked = np.zeros((len(queries), len(self.row)), np.float32)
+        for i, q in enumerate(queries):
+            asked[i, [r for t in q.tolist() if (r := self.row.get(t)) is not None]] = 1
+        out = asked @ self.dense
+        for score, q in zip(out, queries, strict=True):
+            for t in q.tolist():
+                if span := self.span.get(t):
+                    s, e = span
+                    score[self.column[s:e]] += self.weight[s:e]  # an item occurs once in a term's postings
+        return out
 
 
-def _spans(term: np.ndarray) -> dict[int, tuple[int, int]]:
-    """Where the postings of each term are; they are sorted by term."""
-    known, first = np.unique(term, return_index=True)
-    return dict(zip(known.tolist(), zip(first.tolist(), [*first.tolist(), len(term)][1:], strict=False), strict=False))
+#: Nearest items that a seed sorts at first; it sorts more if these don't fill its container.
+FIRST = 128
 
 
 def _nearest(fit: np.ndarray, sizes: np.ndarray, score: np.ndarray, some: int) -> list[int]:
