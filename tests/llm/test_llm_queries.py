@@ -12,6 +12,10 @@ def test_query_equals_sql(spark, duck, small, name):
 COLUMNS = {"p1_found": ["file_path"], "p3_found": ["file_path"], "p4_found": ["response_id", "defect"], "p5_found": ["file_path", "line_no"], "p8_found": ["doc_id_1", "doc_id_2"]}
 
 
+#: On the smallest tables there may be no such file or text.
+MAY_BE_EMPTY = {"p1_files", "p5_credentials", "p5_redacted", "p5_focal_credentials", "p5_focal_redacted", "p8_classes"}
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_runs(spark, small, name):
     df = queries.queries()[name](spark, small)
@@ -20,7 +24,7 @@ def test_query_runs(spark, small, name):
         rows = df.collect()
         assert len(rows) == len(set(rows))
     else:
-        assert df.count() >= 0
+        assert df.count() > 0 or name in MAY_BE_EMPTY
 
 
 def test_entry_has_these_queries():
