@@ -151,9 +151,9 @@ def without_spans(spark: SparkSession, sf: str) -> DataFrame:
     return _functions(spark, sf).where("focal_code IS NOT NULL").select("record_id", F.md5(testing.without_spans("focal_code", spans)).alias("rest_md5"))
 
 
-@query("""WITH f AS (SELECT record_id, string_split(file_content, chr(10)) AS x, function_component.start_line AS s FROM function_metadata WHERE file_content IS NOT NULL AND function_component IS NOT NULL)
+@query(f"""WITH f AS (SELECT record_id, string_split(file_content, chr(10)) AS x, function_component.start_line AS s FROM function_metadata WHERE file_content IS NOT NULL AND function_component IS NOT NULL)
     SELECT record_id, CASE WHEN s BETWEEN 1 AND len(x) THEN md5(array_to_string(x[greatest(1, s - 5):least(len(x), s + 5)], chr(10))) ELSE md5('') END AS around_md5,
-    md5(substring(x[2], 3) || chr(10) || x[3] || chr(10) || substring(x[4], 1, 4)) AS range_md5 FROM f WHERE len(x) > 4""")
+    md5(CASE WHEN regexp_matches(trim(x[2], {WHITE}), '^(import|from|use) ') THEN '' ELSE substring(x[2], 3) || chr(10) || x[3] || chr(10) || substring(x[4], 1, 4) END) AS range_md5 FROM f WHERE len(x) > 4""")
 def context_lines(spark: SparkSession, sf: str) -> DataFrame:
     f = _functions(spark, sf).where("file_content IS NOT NULL AND function_component IS NOT NULL").where(F.size(F.split("file_content", "\n", -1)) > 4)
     around = text.context_lines("file_content", F.col("function_component.start_line"), 5, 5)

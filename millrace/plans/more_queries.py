@@ -159,7 +159,7 @@ def metadata_removal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""WITH f AS (SELECT record_id, string_split(focal_code, chr(10)) AS x FROM function_metadata WHERE focal_code IS NOT NULL)
-    SELECT record_id, md5(CASE WHEN len(x) < 2 OR regexp_matches(trim(x[2]), '^(import|from|use) ') THEN '' ELSE array_to_string(list_concat([substring(x[2], 2)], x[3:least(len(x), 3)], CASE WHEN len(x) >= 4 THEN [substring(x[4], 1, 5)] ELSE [] END), chr(10)) END) AS range_md5 FROM f""")
+    SELECT record_id, md5(CASE WHEN len(x) < 2 OR regexp_matches(trim(x[2], chr(9) || chr(13) || ' '), '^(import|from|use) ') THEN '' ELSE array_to_string(list_concat([substring(x[2], 2)], x[3:least(len(x), 3)], CASE WHEN len(x) >= 4 THEN [substring(x[4], 1, 5)] ELSE [] END), chr(10)) END) AS range_md5 FROM f""")
 def code_range(spark: SparkSession, sf: str) -> DataFrame:
     f = _functions(spark, sf).where("focal_code IS NOT NULL")
     return f.select("record_id", F.md5(text.range_text("focal_code", F.lit(1), F.lit(1), F.lit(3), F.lit(5))).alias("range_md5"))
