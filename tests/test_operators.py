@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,67 @@ def test_bm25_with_exclusions(spark):
     assert got == {i: pytest.approx(s, abs=1e-6) for i, s in want.items()}
 
 
+def bm25_case():
+    """Windows of two groups as (window_id, g, context), and the five best for every third as a query."""
+    rng = np.random.default_rng(3)
+    corpus = {g: [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 25)) if x < 60) for _ in range(90)] for g in "ab"}
+    corpus["b"][7] = corpus["b"][60] = corpus["b"][3]
+    rows, want = [], {}
+    for g, cs in corpus.items():
+        first = 1000 * (g == "b")
+        rows += [(i, g, c) for i, c in enumerate(cs, first)]
+        for i, query in list(enumerate(cs, first))[2::3]:
+            scores = [(round(s, 6), j) for j, s in enumerate(naive_bm25(query, cs), first) if set(query.split()) & set(cs[j - first].split())]
+            want[i] = [(j, pytest.approx(s, abs=1e-6)) for s, j in sorted(scores, key=lambda x: (-x[0], x[1]))[:5]]
+    return rows, {i: x for i, x in want.items() if x}
+
+
+def test_bm25_in_rounds_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROUND_TERMS", 100)
+    rows, want = bm25_case()
+    w = spark.createDataFrame(rows, "window_id long, g string, context string").repartition(3)
+    got = {}
+    for r in retrieval.bm25_top_k(w.selectExpr("window_id AS query_id", "g", "context AS query"), w, "g", 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.window_id, r.score))
+    assert {i: x for i, x in got.items() if i % 1000 % 3 == 2} == want
+
+
+@pytest.mark.parametrize("together", [1, 1000])
+def test_bm25_in_small_pieces(monkeypatch, together):
+    for name, value in {"CHUNK_BYTES": 900, "SCORES": 70, "COMMON": 60, "POSTINGS": 9, "TOGETHER": together}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    rows, want = bm25_case()
+    asked = []
+    for g in "ab":
+        docs = [(i, c.split()) for i, h, c in rows if h == g]
+        n, mean = len(docs), sum(len(d) for _, d in docs) / len(docs)
+        df = {t: sum(t in d for _, d in docs) for t in {x for _, d in docs for x in d}}
+        idf = {t: math.log(n - f + 0.5) - math.log(f + 0.5) for t, f in df.items()}
+        floor = 0.25 * sum(idf.values()) / len(idf)
+        asked += [(i, g, t, d.count(t) * (idf[t] if idf[t] >= 0 else floor), mean) for i, d in docs if i in want for t in set(d)]
+    table = pa.table(dict(zip(("query_id", "g", "term", "weight", "mean"), map(list, zip(*asked)))))
+    shared = type("Shared", (), {"value": retrieval._Asked(table, "g")})
+    batches = [pa.RecordBatch.from_pydict({"g": [r[1] for r in x], "window_id": [r[0] for r in x], "context": [r[2] for r in x], "words": [r[2].split() for r in x]}) for x in (rows[i::4] for i in range(4))]
+    found = {}
+    for batch in retrieval._best(shared, 5, 1.5, 0.75, 6)(iter(batches)):
+        for r in batch.to_pylist():
+            found.setdefault(r["query_id"], []).append((-r["score"], r["window_id"]))
+    assert {i: [(j, -s) for s, j in sorted(x)[:5]] for i, x in found.items()} == want
+
+
+def test_bm25_shuffles_no_pairs(spark):
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.length()))
+
+    w = spark.range(4000).selectExpr("id AS window_id", "'g' AS g", "concat('a b c d e f g h w', id % 50, ' v', id % 7) AS context")
+    q = w.where("window_id % 20 = 0").selectExpr("window_id AS query_id", "g", "context AS query")
+    before = written()
+    assert retrieval.bm25_top_k(q, w, "g", 3).count() == 600
+    assert written() - before < 500_000  # 800,000 pairs that share words
+
+
 def test_dense_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8)).astype(np.float32)
