@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import splitlines
 from millrace.operators import crawling, evaluation, graph, prompts, relational, retrieval, statistics, windows
 from millrace.operators.prefix import running_total
+from millrace.plans import core_queries
 
 SAMPLE = """id int, language string, model string, test array<string>, logs array<string>,
   checks array<struct<compilation: boolean, tests: boolean, coverage: boolean, invocation: boolean, mutation: boolean>>,
@@ -165,17 +167,32 @@ def test_bm25_in_small_pieces(monkeypatch, together):
     assert {i: [(j, -s) for s, j in sorted(x)[:5]] for i, x in found.items()} == want
 
 
-def test_bm25_shuffles_no_pairs(spark):
-    def written():
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-        executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
-        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.length()))
+def shuffled(spark):
+    """Bytes that were written for shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.length()))
+
 
+def test_bm25_shuffles_no_pairs(spark):
     w = spark.range(4000).selectExpr("id AS window_id", "'g' AS g", "concat('a b c d e f g h w', id % 50, ' v', id % 7) AS context")
     q = w.where("window_id % 20 = 0").selectExpr("window_id AS query_id", "g", "context AS query")
-    before = written()
+    before = shuffled(spark)
     assert retrieval.bm25_top_k(q, w, "g", 3).count() == 600
-    assert written() - before < 500_000  # 800,000 pairs that share words
+    assert shuffled(spark) - before < 500_000  # 800,000 pairs that share words
+
+
+def test_rag_prompt_shuffles_only_texts_of_prompts(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    texts = {i: " ".join(f"{x:02x}" for x in rng.integers(0, 64, 4000).tolist()) for i in range(1, 601)}
+    spark.createDataFrame(pd.DataFrame({"doc_id": list(texts), "text": list(texts.values())})).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        assert [r.query_id for r in core_queries.rag_prompt(spark, str(tmp_path)).orderBy("query_id").collect()] == [100, 200, 300, 400, 500, 600]
+        assert shuffled(spark) - before < 1_000_000  # of 7 MB of text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_dense_equals_brute_force(spark):
